@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, packing, sharding
+from . import decontam, neardup, packing, sharding
 from .common import table
 
 #: Folder-independent name of the vocabulary that op4 packs by.
@@ -22,10 +22,11 @@ def tokenizer_path(name: str) -> str:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_packing": lambda s, d: packing.op4_packing(table(s, d, "documents"), tokenizer_path(PACK_TOKENIZER)),
+        "op5_decontamination": lambda s, d: decontam.op5_decontamination(table(s, d, "documents"), table(s, d, "benchmark")),
         "op6_sharding": lambda s, d: sharding.op6_sharding(table(s, d, "documents")),
         "op10_near_duplicates": lambda s, d: neardup.op10_near_duplicates(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontamination": decontam.ORACLE}
