@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, decontam, langid, neardup, packing, quality, sharding
+from . import ann, chat, decontam, langid, neardup, packing, pii, quality, sharding
 from .common import table
 
 #: Folder-independent name of the vocabulary that op4 packs by.
@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontamination": lambda s, d: decontam.op5_decontamination(table(s, d, "documents"), table(s, d, "benchmark")),
         "op6_sharding": lambda s, d: sharding.op6_sharding(table(s, d, "documents")),
         "op7_neighbours": lambda s, d: ann.op7_neighbours(table(s, d, "embeddings")),
+        "op8_pii": lambda s, d: pii.op8_pii(table(s, d, "documents")),
         "op9_chat": lambda s, d: chat.op9_chat(table(s, d, "conversations")),
         "op10_near_duplicates": lambda s, d: neardup.op10_near_duplicates(table(s, d, "documents")),
     }
