@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, decontam, langid, neardup, packing, pii, quality, sharding
+from . import ann, chat, decontam, html, langid, neardup, packing, pii, quality, sharding
 from .common import table
 
 #: Folder-independent name of the vocabulary that op4 packs by.
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": lambda s, d: quality.op1_quality(table(s, d, "documents"), table(s, d, "labels")),
         "op2_language": lambda s, d: langid.op2_language(table(s, d, "documents")),
+        "op3_main_text": lambda s, d: html.op3_main_text(table(s, d, "pages")),
         "op4_packing": lambda s, d: packing.op4_packing(table(s, d, "documents"), tokenizer_path(PACK_TOKENIZER)),
         "op5_decontamination": lambda s, d: decontam.op5_decontamination(table(s, d, "documents"), table(s, d, "benchmark")),
         "op6_sharding": lambda s, d: sharding.op6_sharding(table(s, d, "documents")),
