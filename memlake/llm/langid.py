@@ -160,4 +160,4 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """
     model = fit(docs.select("text", "lang"))
     p = identify(docs, model)
-    return docs.where(p["lang_pred"] != UNKNOWN).where(p["score"] >= least) if model.langs else docs.limit(0)
+    return docs.where((p["lang_pred"] != UNKNOWN) & (p["score"] >= least))
