@@ -1 +1,6 @@
-"""Part of memlake; see the package README."""
+"""The query catalogue: importing it registers every query."""
+
+from . import rank_queries, store_queries
+from .catalogue import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "rank_queries", "store_queries"]
