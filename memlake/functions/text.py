@@ -42,13 +42,13 @@ def canonical_key(raw: Column) -> Column:
 
 #: Phrases by which stored text tries to steer whoever reads it.
 CUES = [
-    r"\b(ignore|disregard|forget)\b.{0,40}\b(previous|prior|above|earlier)\b",
+    r"\b(?:ignore|disregard|forget)\b.{0,40}\b(?:previous|prior|above|earlier)\b",
     r"\bsystem\s+prompt\b",
     r"\byou\s+are\s+now\b",
     r"\bnew\s+instructions?\b",
-    r"\b(assistant|system|developer)\s*:",
+    r"\b(?:assistant|system|developer)\s*:",
     r"\bact\s+as\b",
-    r"\bdo\s+not\s+(tell|reveal|mention)\b",
+    r"\bdo\s+not\s+(?:tell|reveal|mention)\b",
 ]
 
 
@@ -66,16 +66,10 @@ def sanitized(text: Column) -> Column:
     out = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
     out = F.regexp_replace(out, "(<{3}|>{3}|`{3})", f"$1{zero}")
     for cue in CUES:
-        out = F.regexp_replace(out, rf"(?is)\A(.*?)(?=(?:{cue}))(\w)", f"$1${{{_groups(cue) + 2}}}{zero}")
+        out = F.regexp_replace(out, rf"(?is)\A(.*?)(?={cue})(\w)", f"$1$2{zero}")
     return F.trim(out)
 
 
-def _groups(pattern: str) -> int:
-    import re
-
-    return re.compile(pattern).groups
-
-
 def sentences(text: Column) -> Column:
     """Split after full stops; blanks dropped."""
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=\.)\s+"), lambda s: F.trim(s)), lambda s: s != "")
