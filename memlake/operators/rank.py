@@ -85,6 +85,8 @@ def rrf(lists: DataFrame, k: int = 60) -> DataFrame:
 
     Ties keep the order of first appearance: the lowest list, then the rank in it.
     """
+    # Lists keep their partitioning by query under a union, which the adaptive planner of 4.1 may then misjudge.
+    lists.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     fused = lists.groupBy("qid", "id").agg(
         F.round(F.sum(F.col("weight") / (k + F.col("rank"))), 12).alias("score"), F.min(F.struct("list_id", "rank")).alias("first")
     )
@@ -120,8 +122,6 @@ def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5,
 
     docs (id, text), vectors (id, vec), queries (qid, text, vec).
     """
-    # The lists keep their partitioning by query under a union, which the adaptive planner of 4.1 may then misjudge.
-    docs.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     depth = 10 * k
     dense = dense_top(vectors, queries, depth).select("qid", F.lit(0).alias("list_id"), F.lit(1.0).alias("weight"), "id", "rank")
     sparse = bm25(docs, queries, depth).select("qid", F.lit(1).alias("list_id"), F.lit(1.0).alias("weight"), "id", "rank")
