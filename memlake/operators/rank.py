@@ -80,6 +80,30 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int = 10, most_queries:
     return top(near, "qid", k, F.desc("score"), "id")
 
 
+def ann_top(vectors: DataFrame, queries: DataFrame, k: int = 10, exact_up_to: int = 256, lists: int = 64, probes: float = 0.75) -> DataFrame:
+    """dense_top, exactly up to so many vectors, else over the ``probes`` nearest part of inverted lists.
+
+    The lists' centres are the ``lists`` vectors with the least hashes. Each vector is filed under the centre
+    with the highest cosine, and each query joined with the vectors of the lists that it probes.
+    """
+    seeds = vectors.where("vec is not null").select("id", F.col("vec").cast("array<double>").alias("vec"))
+    if seeds.limit(exact_up_to + 1).count() <= exact_up_to:
+        return dense_top(vectors, queries, k)
+    centres = np.array([r[0] for r in seeds.orderBy(F.xxhash64("id"), "id").select("vec").limit(lists).collect()])
+    centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+
+    @F.arrow_udf("array<int>")
+    def nearest(v: pa.Array) -> pa.Array:
+        x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) if len(v) else np.zeros((0, centres.shape[1]))
+        return pa.array(np.argsort(-(x @ centres.T), axis=1, kind="stable").tolist(), pa.list_(pa.int32()))
+
+    filed = seeds.withColumn("list", F.get(nearest("vec"), F.lit(0)))
+    asked = queries.select("qid", F.col("vec").cast("array<double>").alias("q"))
+    asked = asked.withColumn("list", F.explode(F.slice(nearest("q"), F.lit(1), F.lit(int(np.ceil(probes * len(centres)))))))
+    scored = filed.join(asked, "list").select("qid", "id", F.round(cosine(F.col("vec"), F.col("q")), DIGITS).alias("score"))
+    return top(scored, "qid", k, F.desc("score"), "id")
+
+
 def rrf(lists: DataFrame, k: int = 60) -> DataFrame:
     """qid, id, score, rank: sum of weight / (k + rank) over lists (qid, list_id, weight, id, rank).
 
