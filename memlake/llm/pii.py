@@ -64,15 +64,15 @@ def kind_of(entity: Column) -> Column:
     return out
 
 
-def is_card(entity: Column) -> Column:
-    """Whether the digits pass the check sum of payment cards."""
-    d = F.reverse(F.regexp_replace(entity, r"\D", ""))
+def card_sum(digits: Column, doubled: int) -> Column:
+    """The check sum of payment cards over digits from the right; those at odd (1) or even (0) places are doubled."""
 
-    def value(i: Column) -> Column:
-        x = F.get(F.split(d, ""), i).cast("int")
-        return F.when(i % 2 == 0, x).otherwise(F.when(x > 4, x * 2 - 9).otherwise(x * 2))
+    def add(total: Column, d: Column, i: Column) -> Column:
+        x = d.cast("int")
+        return total + F.when(i % 2 != doubled, x).otherwise(F.when(x > 4, x * 2 - 9).otherwise(x * 2))
 
-    return F.aggregate(F.sequence(F.lit(0), F.length(d) - 1), F.lit(0), lambda a, i: a + value(i)) % 10 == 0
+    each = F.transform(F.split(F.reverse(digits), ""), lambda d, i: F.struct(d.alias("d"), i.alias("i")))
+    return F.aggregate(each, F.lit(0), lambda total, x: add(total, x["d"], x["i"]))
 
 
 def digest(entity: Column, kind: Column, draw: Column, key: str) -> Column:
@@ -86,6 +86,7 @@ def _number(hexes: Column, at: Column, digits: int = 4) -> Column:
     return F.conv(F.substr(hexes, start, F.lit(digits)), 16, 10).cast("int")
 
 
+_VALUE = r"(?:\"[^\"\s]{6,}\"|'[^'\s]{6,}'|[^\s\"',;=:]{6,})"
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _CYR_LOWER = "абвгдежзиклмнопрстуфхцчшэюя"
 _GREEK_LOWER = "αβγδεζηθικλμνξοπρστυφχψω"
@@ -113,49 +114,54 @@ def reshaped(text: Column, hexes: Column, hex_only: Column | None = None) -> Col
     return F.array_join(F.transform(chars, one), "")
 
 
-def surrogate(entity: Column, kind: Column, draw: Column, key: str) -> Column:
+def surrogate(entity: Column, draw: Column, key: str) -> Column:
     """The replacement of an entity at a draw (0 first). Depends on nothing else."""
+    return let(kind_of(entity), lambda kind: let(digest(entity, kind, draw, key), lambda h: _surrogate(entity, kind, h)))
 
-    def of(h: Column) -> Column:
-        at, dot = F.instr(entity, "@"), F.lit(".")
-        # The last label of a domain stays what it is; the others are reshaped.
-        top = F.regexp_extract(entity, r"\.\p{L}{2,}$", 0)
-        email = F.concat(reshaped(F.substr(entity, F.lit(1), F.length(entity) - F.length(top)), h), top)
-        octet = lambda k, lo, n: (F.pmod(_number(h, F.lit(k)), F.lit(n)) + lo).cast("string")
-        ip = F.concat(octet(0, 1, 223), dot, octet(7, 0, 256), dot, octet(14, 0, 256), dot, octet(21, 1, 254))
-        # A secret keeps its label and quotes; digits and letters of its value are drawn, in hex if it was hex.
-        value = r"(?:\"[^\"\s]{6,}\"|'[^'\s]{6,}'|[^\s\"',;=:]{6,})$"
-        tail = F.regexp_extract(entity, value, 0)
-        label = F.substr(entity, F.lit(1), F.length(entity) - F.length(tail))
-        secret = F.concat(label, reshaped(tail, h, F.regexp_like(tail, F.lit(r"^[\"']?[0-9a-f]+[\"']?$"))))
-        prefix = F.regexp_extract(entity, r"^(?:AKIA|ASIA|ghp_|gho_|sk-|xox[abp]-)", 0)
-        keyed = F.concat(prefix, reshaped(F.substr(entity, F.length(prefix) + 1, F.length(entity)), h))
-        country = F.substr(entity, F.lit(1), F.lit(2))
-        iban = F.concat(country, reshaped(F.substr(entity, F.lit(3), F.length(entity)), h))
-        drawn = reshaped(entity, h)
-        # The last digit of a card that passed its check is set so that the surrogate passes too.
-        fixes = [F.concat(F.substr(drawn, F.lit(1), F.length(drawn) - 1), F.lit(str(d))) for d in range(10)]
-        card = F.when(is_card(entity), F.coalesce(*[F.when(is_card(x), x) for x in fixes])).otherwise(drawn)
-        phone_head = F.regexp_extract(entity, r"^\+\d{1,3}(?=[ .(-])", 0)
-        phone = F.concat(phone_head, reshaped(F.substr(entity, F.length(phone_head) + 1, F.length(entity)), h))
-        title = F.regexp_extract(entity, rf"^(?:{FEMALE}|{MALE})\.?[  ]", 0)
-        script = F.when(F.regexp_like(F.substr(entity, F.length(title) + 1, F.length(entity)), F.lit(r"^\p{IsCyrillic}")), "cyrillic").otherwise("latin")
-        female = F.regexp_like(entity, F.lit(rf"^(?:{FEMALE})[.  ]"))
-        parts = F.split(F.substr(entity, F.length(title) + 1, F.length(entity)), "[  ]")
-
-        def name(which: str) -> Column:
-            firsts = F.when(female, F.array(*map(F.lit, _FIRST["f", which]))).otherwise(F.array(*map(F.lit, _FIRST["m", which])))
-            some = F.array(*map(F.lit, _SYLLABLES[which]))
-            pick = lambda arr, k: F.get(arr, F.pmod(_number(h, F.lit(k)), F.size(arr)))
-            last = lambda k: F.initcap(F.concat(*[pick(some, k + 5 * j) for j in range(4)]))
-            one, two, three = last(5), F.concat(pick(firsts, 1), F.lit(" "), last(5)), F.concat(pick(firsts, 1), F.lit(" "), last(5), F.lit(" "), last(27))
-            return F.when(F.size(parts) == 1, one).when(F.size(parts) == 2, two).otherwise(three)
-
-        named = F.concat(title, F.when(script == "cyrillic", name("cyrillic")).otherwise(name("latin")))
-        out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "secret", secret).when(kind == "key", keyed)
-        return out.when(kind == "iban", iban).when(kind == "card", card).when(kind == "phone", phone).when(kind == "name", named).otherwise(drawn)
-
-    return let(digest(entity, kind, draw, key), of)
+
+def _surrogate(entity: Column, kind: Column, h: Column) -> Column:
+    # What stays before and after the part that is drawn anew.
+    head = (
+        F.when(kind == "secret", F.regexp_replace(entity, rf"{_VALUE}$", ""))
+        .when(kind == "key", F.regexp_extract(entity, r"^(?:AKIA|ASIA|ghp_|gho_|sk-|xox[abp]-)", 0))
+        .when(kind == "iban", F.substr(entity, F.lit(1), F.lit(2)))
+        .when(kind == "phone", F.regexp_extract(entity, r"^\+\d{1,3}(?=[ .(-])", 0))
+        .otherwise("")
+    )
+    tail = F.when(kind == "email", F.regexp_extract(entity, r"\.\p{L}{2,}$", 0)).otherwise("")
+
+    def shaped(x: Column) -> Column:
+        part = let(
+            F.substr(entity, F.length(x["head"]) + 1, F.length(entity) - F.length(x["head"]) - F.length(x["tail"])),
+            lambda middle: reshaped(middle, h, F.regexp_like(middle, F.lit(r"^[\"']?[0-9a-f]+[\"']?$")) & (kind == "secret")),
+        )
+        return F.concat(x["head"], part, x["tail"])
+
+    drawn = let(F.struct(head.alias("head"), tail.alias("tail")), shaped)
+    digits = lambda c: F.regexp_replace(c, r"\D", "")
+
+    def checked(d: Column) -> Column:
+        """The last digit set so that the check sum holds, if it held for the entity."""
+        body = F.substr(d, F.lit(1), F.length(d) - 1)
+        return F.when(card_sum(digits(entity), 1) % 10 == 0, F.concat(body, ((10 - card_sum(digits(body), 0) % 10) % 10).cast("string"))).otherwise(d)
+
+    octet = lambda k, lo, n: (F.pmod(_number(h, F.lit(k)), F.lit(n)) + lo).cast("string")
+    ip = F.concat_ws(".", octet(0, 1, 223), octet(7, 0, 256), octet(14, 0, 256), octet(21, 1, 254))
+    return F.when(kind == "card", let(drawn, checked)).when(kind == "ip", ip).when(kind == "name", _name(entity, h)).otherwise(drawn)
+
+
+def _name(entity: Column, h: Column) -> Column:
+    """The title, then a name of its gender, of the first letter's script and of as many parts."""
+    title = F.regexp_extract(entity, rf"^(?:{FEMALE}|{MALE})\.?[  ]", 0)
+    name = F.substr(entity, F.length(title) + 1, F.length(entity))
+    gender = F.when(F.regexp_like(title, F.lit(rf"^(?:{FEMALE})[.  ]")), "f").otherwise("m")
+    script = F.when(F.regexp_like(name, F.lit(r"^\p{IsCyrillic}")), "cyrillic").otherwise("latin")
+    firsts = F.create_map(*[x for (g, s), names in _FIRST.items() for x in (F.lit(g + s), F.array(*map(F.lit, names)))])
+    some = F.create_map(*[x for s, parts in _SYLLABLES.items() for x in (F.lit(s), F.array(*map(F.lit, parts)))])
+    pick = lambda array, k: F.get(array, F.pmod(_number(h, k), F.size(array)))
+    last = lambda i: F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: pick(F.element_at(some, script), i * 23 + j * 5 + 5)), ""))
+    part = lambda w, i: F.when((i == 0) & (F.size(F.split(name, "[  ]")) > 1), pick(F.element_at(firsts, F.concat(gender, script)), F.lit(1))).otherwise(last(i))
+    return F.concat(title, F.array_join(F.transform(F.split(name, "[  ]"), part), " "))
 
 
 def entities(text: Column) -> Column:
@@ -164,13 +170,13 @@ def entities(text: Column) -> Column:
 
 
 def draws(found: DataFrame, key: str) -> DataFrame:
-    """entity, kind, draw of the distinct entities whose first surrogate would collide; ``found`` has them all once.
+    """entity, draw of the distinct entities whose first surrogate would collide; ``found`` has them all once.
 
     A collision is a surrogate that another entity has (the smaller entity keeps it) or that is itself an
     entity of the corpus, its own included. Each round writes what it redrew.
     """
-    one = lambda d: d.withColumn("s", surrogate(F.col("entity"), F.col("kind"), F.col("draw"), key))
-    drawn = written(one(found.select("entity", "kind", F.lit(0).alias("draw"))), "surrogates")
+    one = lambda d: d.withColumn("s", surrogate(F.col("entity"), F.col("draw"), key))
+    drawn = written(one(found.select("entity", F.lit(0).alias("draw"))), "surrogates")
     redrawn = None
     for _ in range(MOST_DRAWS):
         owner = drawn.groupBy("s").agg(F.min(F.struct(F.col("draw") * -1, F.col("entity"))).alias("o"), F.count("*").alias("n"))
@@ -179,12 +185,12 @@ def draws(found: DataFrame, key: str) -> DataFrame:
         bad = written(twice.union(real).distinct(), "collisions")
         if bad.isEmpty():
             break
-        again = one(drawn.join(bad, "entity", "left_semi").select("entity", "kind", (F.col("draw") + 1).alias("draw")))
+        again = one(drawn.join(bad, "entity", "left_semi").select("entity", (F.col("draw") + 1).alias("draw")))
         drawn = written(drawn.join(bad, "entity", "left_anti").union(again.select(*drawn.columns)), "surrogates")
-        redrawn = drawn.where("draw > 0").select("entity", "kind", "draw")
+        redrawn = drawn.where("draw > 0").select("entity", "draw")
     else:
         raise RuntimeError("surrogates still collide; are there more entities of a kind than surrogates?")
-    return redrawn if redrawn is not None else found.limit(0).select("entity", "kind", F.lit(0).alias("draw"))
+    return redrawn if redrawn is not None else found.limit(0).select("entity", F.lit(0).alias("draw"))
 
 
 def replace_pii(docs: DataFrame, key: str = "memlake") -> DataFrame:
@@ -195,8 +201,7 @@ def replace_pii(docs: DataFrame, key: str = "memlake") -> DataFrame:
     over the whole table, and no surrogate is an entity that occurs.
     """
     found_in = F.explode(F.array_distinct(entities(F.col("text"))))
-    found = docs.select(found_in.alias("entity")).distinct()
-    found = written(found.withColumn("kind", kind_of(F.col("entity"))), "entities")
+    found = written(docs.select(found_in.alias("entity")).distinct(), "entities")
     redrawn = written(draws(found, key), "redrawn")
     many = redrawn.count()
     e, z = fresh(docs, "_entities"), fresh(docs, "_draws")
@@ -210,7 +215,7 @@ def replace_pii(docs: DataFrame, key: str = "memlake") -> DataFrame:
 
     def made(x: Column) -> Column:
         draw = F.coalesce(F.get(F.map_values(F.map_filter(F.col(z), lambda k, v: k == x)), F.lit(0)), F.lit(0))
-        return surrogate(x, kind_of(x), draw, key)
+        return surrogate(x, draw, key)
 
     joined = F.array_join(
         F.zip_with(pieces, F.transform(F.col(e), made), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""
