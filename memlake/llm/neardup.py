@@ -7,6 +7,10 @@ vectors, so every pair within the radius r agrees under one of the 2^(r+1) - 1 m
 Only distinct fingerprints are compared. A bucket of more than BUCKET fingerprints isn't paired: the bits
 that its mask leaves free are covered again in the same way, which keeps the guarantee; after three rounds at
 most six bits are free, so no bucket can hold more than 64 distinct fingerprints and no cap is needed.
+
+A fingerprint's distance bounds no Jaccard similarity, so the pipeline's stage doesn't use it: ``keep_one`` joins
+the shingle sets themselves by their prefixes. Sets of similarity 0.8 share four fifths of either, hence one of the
+first n - ceil(0.8 n) + 1 shingles of both in any one order; every pair that does is confirmed on the whole sets.
 """
 
 from __future__ import annotations
@@ -23,25 +27,35 @@ from .common import fresh, short_batches, written
 
 #: The most fingerprints of a bucket that are compared pair by pair.
 BUCKET = 64
+#: Shingles are ordered by how many of these sampled documents have them (order moves cost only, never a result).
+ORDER_DOCS, ORDER_SHARE, ORDER_MOST = 4096, 1 / 64, 1_000_000
+#: Keys of candidates that are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The SimHash of a text, unsigned: a bit is 1 if set in over half of its shingles' XXH64 (seed 42).
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle of a text, repeats included; none without words.
 
     Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return, with
-    A-Z lower-cased; shingles are ``width`` words, repeats included. Fewer words are one shingle; none give 0,
-    and so does null.
+    A-Z lower-cased; shingles are ``width`` words. Fewer words are one shingle.
     """
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     if len(words) <= width:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*[words[k:] for k in range(width)], strict=False))
-    n = max(1, len(words) - width + 1)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, max(1, len(words) - width + 1))
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The SimHash of a text, unsigned: a bit is 1 if set in over half of its shingles' hashes; without words 0."""
+    h = shingle_hashes(text, width)
+    n = len(h)
+    if not n:
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 8192):
         part = h[at : at + 8192].view(np.uint8).reshape(-1, 8)
@@ -169,13 +183,115 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)])
+    flat = np.concatenate([np.empty(0, np.uint64), *arrays]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
+
+
+def _identity(h: np.ndarray) -> int:
+    return _signed(xxhash.xxh64_intdigest(h.tobytes(), 42))
+
+
+def shingle_set(text: Column, width: int) -> Column:
+    """A struct of key (a bigint that names the set) and shingles (its hashes, ascending as unsigned)."""
+
+    @F.arrow_udf("struct<key: long, shingles: array<long>>")
+    def of(texts: pa.Array) -> pa.Array:
+        sets = [np.unique(shingle_hashes(t, width)) for t in texts.to_pylist()]
+        keys = pa.array([_identity(h) for h in sets], pa.int64())
+        return pa.StructArray.from_arrays([keys, _lists(sets)], ["key", "shingles"])
+
+    return of(text)
+
+
+def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in at least three documents of a sample, ascending, and in how many."""
+    n = docs.count()
+    some = docs.sample(min(1.0, max(ORDER_DOCS / max(n, 1), ORDER_SHARE)), 42).select(shingle_set(F.col("text"), width).alias("s"))
+    counts = some.select(F.explode("s.shingles").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 2")
+    got = counts.orderBy(F.desc("c"), "h").limit(ORDER_MOST).toArrow()
+    h, c = got.column("h").to_numpy().view(np.uint64), got.column("c").to_numpy()
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
+def similar_sets(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame]:
+    """doc_id, key of every row, key naming its shingle set; and all pairs a < b of keys of Jaccard similarity 0.8 or more.
+
+    No pair is missed or guessed, but for chance collisions of 64-bit hashes. A shingle that is in many prefixes
+    is compared pair by pair; frequent shingles come last in the order, so only sets made of them meet there.
+    """
+    spark = docs.sparkSession
+    short_batches(spark)
+    sent = spark.sparkContext.broadcast(_frequent(docs, width))
+
+    @F.arrow_udf("struct<key: long, n: long, prefix: array<long>>")
+    def prefixed(texts: pa.Array) -> pa.Array:
+        often, count = sent.value
+        keys, sizes, prefixes = [], [], []
+        for text in texts.to_pylist():
+            h = np.unique(shingle_hashes(text, width))
+            keys.append(_identity(h))
+            sizes.append(len(h))
+            rank = np.zeros(len(h), np.int64)
+            if len(often):
+                at = np.minimum(np.searchsorted(often, h), len(often) - 1)
+                rank = np.where(often[at] == h, count[at], 0)
+            prefixes.append(h[np.lexsort((h, rank))][: len(h) + (-4 * len(h)) // 5 + 1])
+        return pa.StructArray.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), _lists(prefixes)], ["key", "n", "prefix"])
+
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), prefixed(F.col("text")).alias("p"))
+    rows = written(made.select("doc_id", "p.*"), "prefixes")
+    sets = rows.groupBy("key").agg(F.first(F.struct("n", "prefix")).alias("p")).select("key", "p.*")
+    split = sets.select("key", "n", F.posexplode("prefix").alias("at", "shingle"))
+    held = Window.partitionBy("shingle")
+    buckets = written(split.withColumn("m", F.count("*").over(held)).where("m > 1").drop("m"), "shared")
+    a, b = (buckets.select("shingle", *[F.col(c).alias(f"{x}_{c}") for c in ("key", "n", "at")]) for x in "ab")
+    size = F.col("a_n") + F.col("b_n")
+    # At their first common shingle the places leave room for the overlap that the similarity needs.
+    room = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    close = (5 * F.least("a_n", "b_n") >= 4 * F.greatest("a_n", "b_n")) & (9 * room >= 4 * size)
+    pairs = a.join(b, "shingle").where((F.col("a_key") < F.col("b_key")) & close)
+    pairs = written(pairs.select(F.col("a_key").alias("a"), F.col("b_key").alias("b")).distinct(), "candidates")
+    asked = written(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct(), "asked")
+    if asked.count() <= BROADCAST_KEYS:
+        # Else the sets of all rows would be shuffled to find those of the candidates.
+        asked = F.broadcast(asked)
+    whole = docs.select(shingle_set(F.col("text"), width).alias("s")).select("s.key", "s.shingles")
+    whole = written(whole.join(asked, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles")), "sets")
+
+    @F.arrow_udf("boolean")
+    def similar(x: pa.Array, y: pa.Array) -> pa.Array:
+        out = []
+        for i in range(len(x)):
+            p, q = x[i].values.to_numpy(), y[i].values.to_numpy()
+            common = len(np.intersect1d(p, q, assume_unique=True))
+            out.append(5 * common >= 4 * (len(p) + len(q) - common))
+        return pa.array(out, pa.bool_())
+
+    both = pairs.join(whole.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
+    both = both.join(whole.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
+    return rows.select("doc_id", "key"), both.where(similar(F.col("x"), F.col("y"))).select("a", "b")
+
+
+def similar_components(docs: DataFrame, width: int = 5) -> DataFrame:
+    """doc_id, component_id (smallest doc_id reachable over pairs of similarity 0.8 or more) of every row."""
+    rows, pairs = similar_sets(docs, width)
+    root = components(pairs).withColumnRenamed("node", "key")
+    rooted = written(rows.join(root, "key", "left").select("doc_id", F.coalesce("root", "key").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rooted.join(least, "root").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with its smallest doc_id, columns unchanged.
 
-    Rows that repeat a doc_id are one document; if it stays, its row with the smallest hash of all columns
-    does. Rows without a doc_id can't be named as copies of others and all stay.
+    Documents link if the Jaccard similarity of their sets of ``width``-word shingles is 0.8 or more; texts
+    without words are alike. Rows that repeat a doc_id are one document; if it stays, its row with the smallest
+    hash of all columns does. Rows without a doc_id can't be named as copies of others and all stay.
     """
-    near = written(near_duplicates(docs, radius, width).where("doc_id is not null"), "near")
+    near = written(similar_components(docs, width).where("doc_id is not null"), "near")
     ids = near.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.where(F.col("doc_id").isNotNull()).join(ids, "doc_id", "left_semi").select(*docs.columns)
     if not near.groupBy("doc_id").count().where("count > 1").isEmpty():
