@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -80,6 +82,16 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int = 10, most_queries:
     return top(near, "qid", k, F.desc("score"), "id")
 
 
+def in_blocks(queries: DataFrame, search, block: int = 2500) -> DataFrame:
+    """The union of ``search`` over blocks of about ``block`` queries, by the hash of qid: all of them are asked."""
+    parts = -(-queries.count() // block)
+    if parts < 2:
+        return search(queries)
+    queries.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    of = F.pmod(F.xxhash64("qid"), F.lit(parts))
+    return reduce(DataFrame.union, [search(queries.where(of == k)) for k in range(parts)])
+
+
 def ann_top(vectors: DataFrame, queries: DataFrame, k: int = 10, exact_up_to: int = 256, lists: int = 64, probes: float = 0.75) -> DataFrame:
     """dense_top, exactly up to so many vectors, else over the ``probes`` nearest part of inverted lists.
 

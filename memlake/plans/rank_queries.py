@@ -124,7 +124,11 @@ fused AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY sc
 
 
 def _queries(s, d):
-    return asks(s, d).where("qid < 20").join(vectors(s, d).select(F.col("id").alias("qid"), "vec"), "qid")
+    return _all_queries(s, d).where("qid < 20")
+
+
+def _all_queries(s, d):
+    return asks(s, d).join(vectors(s, d).select(F.col("id").alias("qid"), "vec"), "qid")
 
 
 @query("rrf_fuse", f"WITH {_RRF} SELECT * FROM fused")
@@ -138,13 +142,14 @@ def _(s, d):
 @query("mmr_rerank")
 def mmr_rerank(s, d):
     v = vectors(s, d)
-    near = rank.dense_top(v, v.where("id < 20").select(F.col("id").alias("qid"), "vec"), 20)
+    q = v.where("id % 50 = 0").select(F.col("id").alias("qid"), "vec")
+    near = rank.in_blocks(q, lambda some: rank.dense_top(v, some, 20))
     return rank.mmr(near.join(v, "id").select("qid", F.col("rank").alias("ord"), "id", F.col("score").alias("rel"), "vec"), 5)
 
 
 @query("hybrid_retrieve")
 def hybrid_retrieve(s, d):
-    return rank.hybrid(docs(s, d), vectors(s, d), _queries(s, d), 5)
+    return rank.in_blocks(_all_queries(s, d), lambda some: rank.hybrid(docs(s, d), vectors(s, d), some, 5))
 
 
 @query("hybrid_store_recall", f"WITH {_RRF} SELECT qid, id, lang, score, rank FROM fused JOIN documents ON doc_id = id WHERE rank <= 10")
