@@ -10,12 +10,14 @@ most six bits are free, so no bucket can hold more than 64 distinct fingerprints
 
 A fingerprint's distance bounds no Jaccard similarity, so the pipeline's stage doesn't use it: ``keep_one`` joins
 the shingle sets themselves by their prefixes. Sets of similarity 0.8 share four fifths of either, hence one of the
-first n - ceil(0.8 n) + 1 shingles of both in any one order; every pair that does is confirmed on the whole sets.
+first n - ceil(0.8 n) + 1 shingles of both in any one order; pairs that do are confirmed on the whole sets.
 """
 
 from __future__ import annotations
 
+from functools import cache
 from itertools import repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ from .common import fresh, short_batches, written
 BUCKET = 64
 #: Shingles are ordered by how many of these sampled documents have them (order moves cost only, never a result).
 ORDER_DOCS, ORDER_SHARE, ORDER_MOST = 4096, 1 / 64, 1_000_000
+#: Common shingles of two short prefixes, and the chance that a pair of similarity 0.8 has fewer.
+MEET, UNLIKELY = 4, 2.0**-56
 #: Keys of candidates that are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -216,69 +220,129 @@ def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], c[order]
 
 
-def similar_sets(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame]:
-    """doc_id, key of every row, key naming its shingle set; and all pairs a < b of keys of Jaccard similarity 0.8 or more.
+@cache
+def enough(percent: int) -> int:
+    """The least k of which fewer than MEET are common with a chance of at most UNLIKELY, if each is not with ``percent``."""
+    q, k = percent / 100, MEET
+    while sum(comb(k, i) * (1 - q) ** i * q ** (k - i) for i in range(MEET)) > UNLIKELY:
+        k += 1
+    return k
+
 
-    No pair is missed or guessed, but for chance collisions of 64-bit hashes. A shingle that is in many prefixes
-    is compared pair by pair; frequent shingles come last in the order, so only sets made of them meet there.
+def prefix(h: np.ndarray, often: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, bool]:
+    """The first shingles of a set (hashes ascending) in the order of all sets, and whether it is the short form.
+
+    Frequent shingles (``often``, ascending, with ``count``) come last, the others by hash. Sets of similarity 0.8
+    share one of the first n - ceil(0.8 n) + 1 of either. They differ in a quarter of n at most, so if that is
+    ``percent`` of the shingles that aren't frequent, whose order is random, MEET of the first enough(percent) are
+    common, but for a chance of UNLIKELY: of a long set those suffice.
     """
-    spark = docs.sparkSession
-    short_batches(spark)
-    sent = spark.sparkContext.broadcast(_frequent(docs, width))
+    n = len(h)
+    rank = np.zeros(n, np.int64)
+    if len(often) and n:
+        at = np.minimum(np.searchsorted(often, h), len(often) - 1)
+        rank = np.where(often[at] == h, count[at], 0)
+    most, free = n + (-4 * n) // 5 + 1, int((rank == 0).sum())
+    percent = -(-25 * n // free) if free else 100
+    k = enough(percent) if percent <= 60 else most
+    return h[np.lexsort((h, rank))][: min(k, most)], k < most
 
-    @F.arrow_udf("struct<key: long, n: long, prefix: array<long>>")
-    def prefixed(texts: pa.Array) -> pa.Array:
-        often, count = sent.value
-        keys, sizes, prefixes = [], [], []
-        for text in texts.to_pylist():
-            h = np.unique(shingle_hashes(text, width))
-            keys.append(_identity(h))
-            sizes.append(len(h))
-            rank = np.zeros(len(h), np.int64)
-            if len(often):
-                at = np.minimum(np.searchsorted(often, h), len(often) - 1)
-                rank = np.where(often[at] == h, count[at], 0)
-            prefixes.append(h[np.lexsort((h, rank))][: len(h) + (-4 * len(h)) // 5 + 1])
-        return pa.StructArray.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), _lists(prefixes)], ["key", "n", "prefix"])
-
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), prefixed(F.col("text")).alias("p"))
-    rows = written(made.select("doc_id", "p.*"), "prefixes")
-    sets = rows.groupBy("key").agg(F.first(F.struct("n", "prefix")).alias("p")).select("key", "p.*")
-    split = sets.select("key", "n", F.posexplode("prefix").alias("at", "shingle"))
-    held = Window.partitionBy("shingle")
-    buckets = written(split.withColumn("m", F.count("*").over(held)).where("m > 1").drop("m"), "shared")
-    a, b = (buckets.select("shingle", *[F.col(c).alias(f"{x}_{c}") for c in ("key", "n", "at")]) for x in "ab")
-    size = F.col("a_n") + F.col("b_n")
-    # At their first common shingle the places leave room for the overlap that the similarity needs.
-    room = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
-    close = (5 * F.least("a_n", "b_n") >= 4 * F.greatest("a_n", "b_n")) & (9 * room >= 4 * size)
-    pairs = a.join(b, "shingle").where((F.col("a_key") < F.col("b_key")) & close)
-    pairs = written(pairs.select(F.col("a_key").alias("a"), F.col("b_key").alias("b")).distinct(), "candidates")
-    asked = written(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct(), "asked")
-    if asked.count() <= BROADCAST_KEYS:
-        # Else the sets of all rows would be shuffled to find those of the candidates.
-        asked = F.broadcast(asked)
-    whole = docs.select(shingle_set(F.col("text"), width).alias("s")).select("s.key", "s.shingles")
-    whole = written(whole.join(asked, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles")), "sets")
+
+def _close(a: str, b: str) -> Column:
+    """Sizes allow the similarity; so do the places in prefixes, if the shingle is the first that both have."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    room = F.least(n - F.col(f"{a}.at"), m - F.col(f"{b}.at"))
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * room >= 4 * (n + m))
+
+
+def _candidates(met: DataFrame) -> DataFrame:
+    """a, b of the pairs of met.a and met.b that share enough of their prefixes."""
+    pairs = met.where(_close("a", "b")).groupBy(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
+    return pairs.agg(F.count("*").alias("m"), F.min(F.col("a.wide") & F.col("b.wide")).alias("w")).where(f"m >= {MEET} or not w").select("a", "b")
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    """``keys``, to be broadcast if they are at most BROADCAST_KEYS."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def _similar(x: Column, y: Column) -> Column:
+    """Whether two arrays of different bigints have a Jaccard similarity of 0.8 or more."""
 
     @F.arrow_udf("boolean")
-    def similar(x: pa.Array, y: pa.Array) -> pa.Array:
-        out = []
-        for i in range(len(x)):
-            p, q = x[i].values.to_numpy(), y[i].values.to_numpy()
-            common = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(5 * common >= 4 * (len(p) + len(q) - common))
+    def of(x: pa.Array, y: pa.Array) -> pa.Array:
+        out, (p, q), (i, j) = [], (c.values.to_numpy() for c in (x, y)), (c.offsets.to_numpy() for c in (x, y))
+        for k in range(len(x)):
+            u, v = p[i[k] : i[k + 1]], q[j[k] : j[k + 1]]
+            common = len(np.intersect1d(u, v, assume_unique=True))
+            out.append(5 * common >= 4 * (len(u) + len(v) - common))
         return pa.array(out, pa.bool_())
 
+    return of(x, y)
+
+
+def _confirmed(docs: DataFrame, rows: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """The pairs (a, b) of keys whose whole sets have a similarity of 0.8 or more, written."""
+    asked = written(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct(), "asked")
+    texts = rows.join(_few(asked), "key", "left_semi").groupBy("key").agg(F.min("text_key").alias("text_key")).select("text_key")
+    texts = _few(written(texts.distinct(), "asked-texts"))
+    # One text of each set is hashed again; of copies of it, one set leaves each task.
+    whole = docs.select("text", _text_key().alias("text_key")).join(texts, "text_key", "left_semi")
+    whole = whole.select(shingle_set(F.col("text"), width).alias("s")).select("s.key", "s.shingles")
+    whole = written(whole.groupBy("key").agg(F.first("shingles").alias("shingles")), "sets")
     both = pairs.join(whole.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(whole.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
-    return rows.select("doc_id", "key"), both.where(similar(F.col("x"), F.col("y"))).select("a", "b")
+    return written(both.where(_similar(F.col("x"), F.col("y"))).select("a", "b"), "similar")
+
+
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def similar_sets(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame]:
+    """doc_id, key of every row, key naming its shingle set; and node, root: the class of every set that has a link.
+
+    Sets link at a Jaccard similarity of 0.8 or more, confirmed on the whole sets. Each shared shingle's sets are
+    first compared with one of them, so that copies become classes by a star and not by all pairs; then sets of
+    different classes that share one are. Only pairs within a class are left out, so no link is lost, but for
+    chance collisions of 64-bit hashes and the chance that ``prefix`` names.
+    """
+    spark = docs.sparkSession
+    short_batches(spark)
+    sent = spark.sparkContext.broadcast(_frequent(docs, width))
+
+    @F.arrow_udf("struct<key: long, n: long, wide: boolean, prefix: array<long>>")
+    def prefixed(texts: pa.Array) -> pa.Array:
+        sets = [np.unique(shingle_hashes(t, width)) for t in texts.to_pylist()]
+        made = [prefix(h, *sent.value) for h in sets]
+        columns = [pa.array(map(_identity, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([w for _, w in made], pa.bool_())]
+        return pa.StructArray.from_arrays([*columns, _lists([p for p, _ in made])], ["key", "n", "wide", "prefix"])
+
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), prefixed(F.col("text")).alias("p"))
+    made = written(made.select("doc_id", "text_key", "p.*"), "prefixes")
+    rows = made.select("doc_id", "text_key", "key")
+    sets = made.groupBy("key").agg(F.first(F.struct("n", "wide", "prefix")).alias("p")).select("key", "p.*")
+    split = written(sets, "prefix-sets").select("key", "n", "wide", F.posexplode("prefix").alias("at", "shingle"))
+    entry = F.struct("key", "n", "wide", "at")
+    buckets = split.groupBy("shingle").agg(F.count("*").alias("held"), F.min(entry).alias("b")).where("held > 1").drop("held")
+    shared = written(split.join(_few(written(buckets, "shared")), "shingle").select("shingle", "b", entry.alias("a")), "entries")
+    asked = written(_candidates(shared.where("a.key != b.key")), "candidates")
+    links = _confirmed(docs, rows, asked, width)
+    root = components(links).withColumnRenamed("node", "key")
+    classed = shared.select("shingle", "a.key", "a").join(root, "key", "left").select("shingle", "a", F.coalesce("root", "key").alias("root"))
+    mixed = classed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("shingle")
+    left = written(classed.join(_few(written(mixed, "mixed")), "shingle", "left_semi"), "classed")
+    right = left.select("shingle", F.col("a").alias("b"), F.col("root").alias("other"))
+    pairs = _candidates(left.join(right, "shingle").where("a.key < b.key and root != other"))
+    known = asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = _confirmed(docs, rows, written(pairs.join(known, ["a", "b"], "left_anti"), "candidates"), width)
+    return rows.select("doc_id", "key"), components(links.union(more)) if not more.isEmpty() else root.withColumnRenamed("key", "node")
 
 
 def similar_components(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, component_id (smallest doc_id reachable over pairs of similarity 0.8 or more) of every row."""
-    rows, pairs = similar_sets(docs, width)
-    root = components(pairs).withColumnRenamed("node", "key")
+    """doc_id, component_id (smallest doc_id reachable over links of similarity 0.8 or more) of every row."""
+    rows, root = similar_sets(docs, width)
+    root = root.withColumnRenamed("node", "key")
     rooted = written(rows.join(root, "key", "left").select("doc_id", F.coalesce("root", "key").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(least, "root").select("doc_id", "component_id")

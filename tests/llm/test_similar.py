@@ -59,3 +59,23 @@ def test_edits_around_the_limit_in_crowded_text(spark):
     assert 40 < len(want) < len(texts) - 10
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r["doc_id"] for r in neardup.keep_one(docs).collect()} == want
+
+
+def test_long_texts_have_short_prefixes_and_lose_no_link(spark):
+    """Chains and stars of edited copies of long texts, half of them with a long passage that all have."""
+    rng = random.Random(11)
+    passage, texts = [f"p{k}" for k in range(400)], {}
+    for k in range(25):
+        words = (passage if k % 2 else []) + [f"w{k}_{j}" for j in range(rng.choice([300, 900]))]
+        for n in range(12):
+            texts[len(texts)] = " ".join(words)
+            changed = [w if rng.random() > (0.004, 0.02)[k % 2] else f"x{rng.randrange(10**9)}" for w in words]
+            words = changed if n % 3 else words
+    want = slow_kept(texts)
+    assert 25 <= len(want) < len(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"] for r in neardup.keep_one(docs).collect()} == want
+    h = neardup.shingle_hashes(texts[299], 5)
+    none = neardup.np.empty(0, neardup.np.uint64)
+    short, wide = neardup.prefix(neardup.np.unique(h), none, none)
+    assert wide and len(short) == neardup.enough(26) < 50 and neardup.enough(60) > 80
