@@ -33,8 +33,8 @@ BUCKET = 64
 ORDER_DOCS, ORDER_SHARE, ORDER_MOST = 4096, 1 / 64, 1_000_000
 #: Common shingles of two short prefixes, and the chance that a pair of similarity 0.8 has fewer.
 MEET, UNLIKELY = 4, 2.0**-56
-#: Keys of candidates that are broadcast; more are joined by a shuffle.
-BROADCAST_KEYS = 500_000
+#: Keys of candidates, and shared shingles with one of their sets, that are broadcast (under 20 MB); more are joined by a shuffle.
+BROADCAST_KEYS = 100_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 

@@ -78,4 +78,4 @@ def test_long_texts_have_short_prefixes_and_lose_no_link(spark):
     h = neardup.shingle_hashes(texts[299], 5)
     none = neardup.np.empty(0, neardup.np.uint64)
     short, wide = neardup.prefix(neardup.np.unique(h), none, none)
-    assert wide and len(short) == neardup.enough(26) < 50 and neardup.enough(60) > 80
+    assert wide and len(short) == neardup.enough(25) < 50 and neardup.enough(60) > 80
