@@ -35,13 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN[app]
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage ends here."""
     spark = df.sparkSession
     # A union may keep its sides' partitioning, which the adaptive planner of 4.1 can misjudge after it coalesces one.
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
