@@ -2,7 +2,8 @@
 
 The tree is fitted to a bounded sample of rows and broadcast; every row is filed under a leaf. A query goes
 down the tree with a priority queue of nodes, nearest upper bound of the inner product first, and so visits
-leaves in a best-first order; it widens the visit until the number of leaves that a calibration needed. That
+leaves in a best-first order; it widens the visit until the number of leaves that a calibration needed, and
+beyond that until they hold as many rows as are asked for. That
 calibration searches a bounded set of queries exactly, over all rows, and takes the least number of leaves
 at which the mean recall reaches RECALL. Leaves are searched in blocks of rows as matrix products, each
 query's candidates of a block are cut to the k best, and the best of all blocks are ranked.
@@ -22,15 +23,14 @@ from .common import short_batches, written
 
 #: Rows of the sample that the tree is fitted to, and of queries that it is calibrated with.
 FIT_ROWS = 100_000
-CALIBRATION_QUERIES = 64
+CALIBRATION_QUERIES = 256
 RECALL = 0.95
 BRANCHES = 8
-#: Rows to a leaf, and the most leaves (the broadcast tree holds at most twice as many centres).
-LEAF_ROWS = 400
+#: A tree over n rows has the square root of n leaves, at any size, up to so many (it holds at most twice as many centres).
 MOST_LEAVES = 32_768
 #: Rows of a leaf that one task searches at once.
 BLOCK_ROWS = 20_000
-#: Queries that one task compares with a block, on average.
+#: Queries that one task compares with a block of a leaf; a leaf that more visit is dealt to more tasks.
 QUERY_ROWS = 20_000
 VECTOR = "array<double>"
 
@@ -105,22 +105,23 @@ class Tree:
             todo = np.array([i for i in todo if self.children[node[i]]], np.int64) if len(todo) else todo
         return np.array(self.leaf)[node]
 
-    def visit(self, q: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves, best bin first.
+    def visit(self, q: np.ndarray, most: int, rows: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first ``most`` leaves, best bin first, and further ones until they hold ``least`` of ``rows`` (by leaf).
 
         A node's key is q's inner product with its centre plus a share of |q| times its radius, which leans the
         order to wide bins in which a better row may lie.
         """
-        norm = 0.25 * float(np.sqrt(q @ q))
+        norm = 0.5 * float(np.sqrt(q @ q))
         bound = self.centre @ q + norm * self.radius
-        queue, found = [(-bound[0], 0)], []
-        while queue and len(found) < most:
+        queue, found, held = [(-bound[0], 0)], [], 0
+        while queue and (len(found) < most or held < least):
             _, node = heapq.heappop(queue)
             if self.children[node]:
                 for kid in self.children[node]:
                     heapq.heappush(queue, (-bound[kid], kid))
             else:
                 found.append(self.leaf[node])
+                held += 0 if rows is None else int(rows[self.leaf[node]])
         return found
 
 
@@ -134,12 +135,12 @@ def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and v (array of doubles) of the rows that take part.
 
     Null vectors, zero vectors and those that hold a null or a component that isn't finite don't; nor do
-    vectors of another length than the commonest (the shorter of equally common ones).
+    vectors of another length than the commonest (the shorter of equally common ones), nor rows without a vec_id.
     """
     v = F.col("embedding").cast(VECTOR)
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(
-        F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", bad) & F.exists("v", lambda x: x != 0)
+        F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", bad) & F.exists("v", lambda x: x != 0)
     )
     common = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return good.where(F.size("v") == (common[0] if common else 0))
@@ -168,7 +169,7 @@ class Index:
 
     def __init__(self, vectors: DataFrame, k: int = 20, recall: float = RECALL):
         spark = vectors.sparkSession
-        short_batches(spark, 4096)
+        short_batches(spark)
         self.k, self.spark = k, spark
         self.rows = written(usable(vectors), "vectors")
         n = self.rows.count()
@@ -180,7 +181,7 @@ class Index:
         points = _matrix(sample.column("v").combine_chunks())
         if not len(points):
             points = _matrix(self.rows.select("v").limit(1).toArrow().column("v").combine_chunks())
-        self.tree = Tree(points, max(1, min(MOST_LEAVES, n // LEAF_ROWS)))
+        self.tree = Tree(points, max(1, min(MOST_LEAVES, round(n**0.5))))
         self.sent = spark.sparkContext.broadcast(self.tree)
         sent = self.sent
 
@@ -190,6 +191,7 @@ class Index:
 
         filed = self.rows.select("vec_id", "v", leaf("v").alias("leaf"))
         sizes = {r[0]: r[1] for r in filed.groupBy("leaf").count().collect()}
+        self.sizes = np.array([sizes.get(k, 0) for k in range(self.tree.leaves)])
         self.blocks = {leaf_: max(1, -(-c // BLOCK_ROWS)) for leaf_, c in sizes.items()}
         many = spark.createDataFrame(list(self.blocks.items()), "leaf int, blocks int")
         self.filed = written(
@@ -198,7 +200,6 @@ class Index:
             ),
             "filed",
         )
-        self.many = many
         self.visits = self._calibrate(recall)
 
     def _calibrate(self, recall: float) -> int:
@@ -243,17 +244,26 @@ class Index:
         """
         if self.empty:
             return self.spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-        sent, visits, k = self.sent, self.visits, self.k
+        sent, visits, k, sizes = self.sent, self.visits, self.k, self.sizes
+        # Of k + 1 rows per copy of the query's own vec_id at least k are others.
+        own = self.filed.groupBy("vec_id").count().where("count > 1")
 
         @F.arrow_udf("array<int>")
-        def leaves(v: pa.Array) -> pa.Array:
-            return pa.array([sent.value.visit(q, visits) for q in _matrix(v)], pa.list_(pa.int32()))
-
-        once = written(queries.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v")), "queries")
-        parts = max(1, -(-once.count() * visits // (self.tree.leaves * QUERY_ROWS)))
-        asked = once.withColumn("leaf", F.explode(leaves("v"))).withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
-        filed = self.filed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-        asked = asked.join(F.broadcast(self.many), "leaf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        def leaves(v: pa.Array, copies: pa.Array) -> pa.Array:
+            asked = zip(_matrix(v), copies.to_pylist(), strict=True)
+            return pa.array([sent.value.visit(q, visits, sizes, k + c) for q, c in asked], pa.list_(pa.int32()))
+
+        once = queries.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
+        once = once.join(own.select(F.col("vec_id").alias("query_id"), "count"), "query_id", "left")
+        once = written(once.select("query_id", "v", leaves("v", F.coalesce("count", F.lit(1))).alias("leaves")), "queries")
+        visited = once.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count()
+        # One row a leaf, so at most MOST_LEAVES.
+        dealt = [(r[0], self.blocks[r[0]], -(-r[1] // QUERY_ROWS)) for r in visited.collect() if r[0] in self.blocks]
+        dealt = F.broadcast(self.spark.createDataFrame(dealt, "leaf int, blocks int, parts int"))
+        turns = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        asked = once.select("query_id", "v", F.explode("leaves").alias("leaf")).join(dealt, "leaf")
+        asked = asked.withColumn("block", turns("blocks")).withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
+        filed = self.filed.join(dealt.select("leaf", "parts"), "leaf").withColumn("part", turns("parts"))
 
         def compare(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
             out: list[list] = [[], [], []]

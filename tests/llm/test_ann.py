@@ -33,7 +33,6 @@ def test_recall_and_order(spark, monkeypatch):
     centres = rng.normal(size=(60, 24))
     x = centres[rng.integers(60, size=6000)] + 0.3 * rng.normal(size=(6000, 24))
     table = spark.createDataFrame([(i, [float(c) for c in v], 0) for i, v in enumerate(x)], SCHEMA)
-    monkeypatch.setattr(ann, "LEAF_ROWS", 100)
     monkeypatch.setattr(ann, "BLOCK_ROWS", 150)
     monkeypatch.setattr(ann, "QUERY_ROWS", 40)
     index = ann.Index(table)
@@ -58,9 +57,29 @@ def test_whole_table(spark, sf):
     assert recall({q: [v for _, v, _ in f] for q, f in got.items()}, want) >= 0.9
 
 
+def test_visits_are_fewer_than_leaves_at_the_measured_recall(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    index = ann.Index(table)
+    got = collect(index.search(index.rows.where("vec_id % 20 = 0")))
+    want, _ = brute(table)
+    found = recall({q: [v for _, v, _ in f] for q, f in got.items()}, want)
+    print(f"{index.visits} of {index.tree.leaves} leaves, recall {found:.3f}")
+    assert index.tree.leaves == 45 and index.visits < 0.8 * index.tree.leaves and 0.9 <= found < 1
+
+
+def test_small_leaves_still_give_k(spark, monkeypatch):
+    """A hot vector leaves the other leaves small; no query gets fewer than there are others."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [1.0, 0.0, 0.0, 0.0], 0) for i in range(400)] + [(400 + i, [float(c) for c in rng.normal(size=4)], 0) for i in range(60)] + [(0, [0.5, 0.0, 0.0, 1.0], 0)]
+    monkeypatch.setattr(ann.Index, "_calibrate", lambda self, recall: 1)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 7)
+    got = collect(ann.op7_neighbours(spark.createDataFrame(rows, SCHEMA)))
+    assert len(got) == 23 and all(len(f) == 20 for f in got.values())
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [0.0, 0.0], 1), (4, None, 1), (5, [nan, 1.0], 1), (6, [inf, 1.0], 1), (7, [None, 1.0], 1), (8, [], 1), (9, [1.0, 2.0, 3.0], 1), (20, [0.0, 1.0], 1), (40, [0.0, 0.0], 1)]
+    rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [0.0, 0.0], 1), (4, None, 1), (5, [nan, 1.0], 1), (6, [inf, 1.0], 1), (7, [None, 1.0], 1), (8, [], 1), (9, [1.0, 2.0, 3.0], 1), (20, [0.0, 1.0], 1), (40, [0.0, 0.0], 1), (None, [1.0, 0.0], 1)]
     got = collect(ann.op7_neighbours(spark.createDataFrame(rows, SCHEMA)))
     assert {q: [(v, s) for _, v, s in f] for q, f in got.items()} == {0: [(1, 1.0), (2, 1.0), (20, 0.0)], 20: [(0, 0.0), (1, 0.0), (2, 0.0)]}
     assert ann.op7_neighbours(spark.createDataFrame(rows[3:5], SCHEMA)).count() == 0
