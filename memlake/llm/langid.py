@@ -2,8 +2,8 @@
 
 Texts are lower-cased; runs of anything but letters become one space; n-grams of 1 to 3 code points are
 hashed into BUCKETS. Each task counts its grams by language, Spark adds the counts up, and the table of
-log-probabilities (languages x BUCKETS floats, whatever the corpus) is broadcast. A batch is scored as a
-sparse product in numpy: the rows of the table at a text's grams, added up.
+log-probabilities (languages x BUCKETS floats, whatever the corpus) is broadcast. A batch of texts is scored as a
+sparse product in numpy: the grams of all its texts in a row, one language's table at them, added up text by text.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ SMOOTHING = 0.5
 MOST_LANGUAGES = 256
 UNKNOWN = "und"
 
-#: Characters of a long text that are worked on at once; the next part starts two characters earlier.
+#: Characters of a long text that are worked on at once; grams over the joints are counted with the later part.
 _PART = 1 << 18
+#: Grams of a batch that are scored at once.
+_GRAMS = 1 << 21
 _CODE: np.ndarray | None = None
 
 
@@ -40,28 +42,41 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def gram_hashes(text: str, buckets: int = BUCKETS) -> np.ndarray:
-    """The bucket of every n-gram of a text that has a letter, in no particular order."""
-    c = _codes()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
-    space = c == 32
-    c = np.concatenate(([32], c[~(space & np.concatenate(([True], space[:-1])))], [32])).astype(np.uint32)
+def _hashes(c: np.ndarray, buckets: int, known: int = 0) -> np.ndarray:
+    """The buckets of all n-grams of normalized codes, but for those within the first ``known`` codes."""
     h, out = c.copy(), []
     for order in ORDERS:
         if order > 1:
             h = h[:-1] * np.uint32(0x9E3779B1) + c[order - 1 :]
-        if len(h):
-            mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA77 + 2 * order)
+        new = h[max(0, known - order + 1) :]
+        if len(new):
+            mixed = (new ^ (new >> np.uint32(15))) * np.uint32(0x85EBCA77 + 2 * order)
             out.append((mixed >> np.uint32(8)) % np.uint32(buckets))
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.empty(0, np.uint32)
+
+
+def _letters(low: str, after_space: bool) -> np.ndarray:
+    """Codes of a lower-cased text; a run of anything but letters is one space, none if a space came before."""
+    c = _codes()[np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    space = c == 32
+    return c[~(space & np.concatenate(([after_space], space[:-1])))]
+
+
+def gram_hashes(text: str, buckets: int = BUCKETS) -> np.ndarray:
+    """The bucket of every n-gram of a text that has a letter, in no particular order."""
+    return _hashes(np.concatenate(([32], _letters(text.lower(), True), [32])).astype(np.uint32), buckets)
 
 
 def gram_counts(text: str, buckets: int = BUCKETS) -> np.ndarray:
-    """How often each bucket occurs in a text of any length."""
-    total = np.zeros(buckets, np.int64)
-    for at in range(0, len(text), _PART):
-        part = text[at : at + _PART]
-        if has_letter(part):
-            total += np.bincount(gram_hashes(part, buckets), minlength=buckets)
+    """How often each bucket occurs in a text of any length; the same as of gram_hashes, in parts."""
+    total, low = np.zeros(buckets, np.int64), text.lower()
+    seen = np.empty(0, np.uint32)
+    for at in range(0, len(low), _PART):
+        first, last = at == 0, at + _PART >= len(low)
+        new = _letters(low[at : at + _PART], first or seen[-1] == 32)
+        codes = np.concatenate((seen, [32] * first, new, [32] * last)).astype(np.uint32)
+        total += np.bincount(_hashes(codes, buckets, len(seen)), minlength=buckets)
+        seen = codes[-(max(ORDERS) - 1) :]
     return total
 
 
@@ -69,18 +84,42 @@ class Model:
     """langs, and log-probabilities of the buckets (languages x buckets) and of the languages."""
 
     def __init__(self, langs: list[str], table: np.ndarray, prior: np.ndarray):
-        self.langs, self.table, self.prior = langs, np.ascontiguousarray(table.T.astype(np.float32)), prior
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The likeliest language and its probability; ``und`` and 0 without a letter or without languages."""
-        if not self.langs or not has_letter(text):
-            return UNKNOWN, 0.0
-        if len(text) > BUCKETS // 4:
-            logs = self.prior + gram_counts(text) @ self.table.astype(np.float64)
-        else:
-            logs = self.prior + self.table[gram_hashes(text)].sum(axis=0, dtype=np.float64)
-        best = int(np.argmax(logs))
-        return self.langs[best], float(1 / np.exp(logs - logs[best]).sum())
+        self.langs, self.table, self.prior = langs, table.astype(np.float32), prior
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The likeliest language of each text and its probability; ``und`` and 0 without a letter or without languages."""
+        out = [(UNKNOWN, 0.0)] * len(texts)
+        held: list[np.ndarray] = []
+        places: list[int] = []
+
+        def score() -> None:
+            if not held:
+                return
+            grams, starts = np.concatenate(held), np.cumsum([0, *map(len, held[:-1])])
+            logs = np.stack([np.add.reduceat(t[grams], starts, dtype=np.float64) for t in self.table], axis=1)
+            tell(places, logs)
+            held.clear()
+            places.clear()
+
+        def tell(rows: list[int], logs: np.ndarray) -> None:
+            logs = logs + self.prior
+            best = np.argmax(logs, axis=1)
+            p = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
+            for row, k, x in zip(rows, best.tolist(), p.tolist(), strict=True):
+                out[row] = (self.langs[k], x)
+
+        for row, text in enumerate(texts):
+            if not self.langs or not has_letter(text):
+                continue
+            if len(text) > _PART:
+                tell([row], (self.table.astype(np.float64) @ gram_counts(text))[None])
+                continue
+            held.append(gram_hashes(text))
+            places.append(row)
+            if sum(map(len, held)) > _GRAMS:
+                score()
+        score()
+        return out
 
 
 def fit(labelled: DataFrame) -> Model:
@@ -133,7 +172,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> Column:
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def of(texts: pa.Array) -> pa.Array:
-        got = [sent.value.predict(t) for t in texts.to_pylist()]
+        got = sent.value.predict(texts.to_pylist())
         return pa.StructArray.from_arrays(
             [pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], ["lang_pred", "score"]
         )

@@ -39,10 +39,36 @@ def test_language_odd_rows(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} <= {4, None, 5}
 
 
-def test_long_texts_count_alike():
-    text = "Das ist ein Satz, und noch einer. " * 12000
-    whole = np.bincount(langid.gram_hashes(text), minlength=langid.BUCKETS)
-    assert abs(langid.gram_counts(text) - whole).sum() <= 12 * (len(text) // langid._PART + 1)
+def test_long_texts_count_alike(monkeypatch):
+    for text in ("Das ist ein Satz, und noch einer. " * 12000, "  a1b  ", "x", "Äß--Σς " * 9, "... .. a", "a ..   "):
+        whole = np.bincount(langid.gram_hashes(text), minlength=langid.BUCKETS)
+        for part in (langid._PART, 1, 2, 5):
+            monkeypatch.setattr(langid, "_PART", part if len(text) < 100 or part > 5 else 9973)
+            assert (langid.gram_counts(text) == whole).all(), (text[:9], part)
+
+
+def test_batches_score_as_each_text_alone(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = langid.Model(["a", "b", "c"], np.log(rng.dirichlet(np.ones(langid.BUCKETS), 3)), np.log([0.2, 0.3, 0.5]))
+    texts = ["".join(rng.choice(list("abc dé1"), rng.integers(1, 90))) for _ in range(50)] + [None, "", "12", "z" * 500]
+    monkeypatch.setattr(langid, "_GRAMS", 300)
+    monkeypatch.setattr(langid, "_PART", 400)
+    got = model.predict(texts)
+    for text, (lang, p) in zip(texts, got, strict=True):
+        if not langid.has_letter(text):
+            assert (lang, p) == ("und", 0.0)
+            continue
+        logs = model.prior + model.table[:, langid.gram_hashes(text)].sum(axis=1, dtype=float)
+        e = np.exp(logs - logs.max())
+        assert lang == model.langs[int(np.argmax(logs))] and abs(p - e.max() / e.sum()) < 1e-6
+
+
+def test_language_clashing_columns(spark):
+    rows = [(i, ("the cat and the dog ", "der hund und die katze ")[i % 2] * 3, ("en", "de")[i % 2], "x", 1.0) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.op2_language(docs).collect()} == {i: ("en", "de")[i % 2] for i in range(30)}
+    kept = langid.keep_identified(docs)
+    assert kept.columns == docs.columns and kept.count() == 30
 
 
 def test_quality_held_out(spark):
