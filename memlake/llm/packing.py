@@ -13,6 +13,7 @@ with ranks from..to lie in bins from..to at an offset. Ranks come from counts by
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -27,20 +28,29 @@ from .common import fresh, short_batches, written
 
 #: Chunks of text whose ids a worker remembers.
 REMEMBERED = 600_000
+#: Counts by task and length are broadcast up to this many rows (about 20 MB), and joined by shuffle beyond.
+BROADCAST_ROWS = 200_000
 
 
 class WordIds:
     """Token ids of whole texts, by the tokenizer's own library, with the ids of white-space-free chunks remembered.
 
-    The vocabulary's normalizer and splitter never join characters across white space, so a text's ids are
-    those of its chunks in a row. Texts with special tokens' strings or a capital sigma go to the library whole.
+    The normalizer and splitter that this knows (STEPS) never join characters across white space, so a text's ids
+    are those of its chunks in a row. Texts with special tokens' strings, with letters whose lower case depends on
+    what is around them or composes anew, and all texts of a vocabulary with other steps go to the library whole.
     """
 
+    STEPS = {"normalizer": ["NFC", "Replace", "Lowercase"], "pre_tokenizer": ["Split", "ByteLevel"]}
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        steps = {k: [x["type"] for x in (made[k] or {}).get(v, [])] for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))}
+        self.by_chunk = steps == self.STEPS and made["post_processor"] is None and made["model"]["type"] == "BPE"
         self.known: dict[str, bytes] = {"": b""}
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         moved = [b for b in range(256) if b not in kept]
@@ -63,11 +73,11 @@ class WordIds:
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if "<|" in text or "Σ" in text or "İ" in text:
+        nfc = text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+        low = nfc.lower()
+        if not self.by_chunk or "<|" in text or "Σ" in text or "İ" in text or not unicodedata.is_normalized("NFC", low):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        chunks = text.lower().replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        chunks = low.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         known = self.known
         try:
             return b"".join([known[c] for c in chunks])
@@ -213,7 +223,8 @@ def place(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     table = np.array(runs, np.int64).reshape(-1, 6)
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counted.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    joined = pieces.join(base, ["part", "length"])
+    few = counted.count() <= BROADCAST_ROWS
+    joined = pieces.join(F.broadcast(base) if few else base.hint("merge"), ["part", "length"])
     at = fresh(pieces, "_at")
 
     @F.arrow_udf("struct<sequence_id: long, offset: long>")

@@ -61,6 +61,23 @@ def test_ids_are_the_librarys():
         assert np.frombuffer(own(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_ids_of_combined_letters_are_the_librarys():
+    library, own = Tokenizer.from_file(PATH), packing.WordIds(PATH)
+    rng = random.Random(4)
+    letters, marks = "ATHJWYÅ\u1e97tjwyK\u03a5\u0399", "\u0308\u0331\u030c\u030a\u0301\u0323\u0345"
+    texts = ["T\u0308", "H\u0331adith", "J\u030c", "W\u030a"]
+    texts += ["".join(rng.choice(letters) + rng.choice(marks) * (rng.random() < 0.6) + rng.choice(["", " ", ".", "b"]) for _ in range(rng.randint(1, 5))) for _ in range(30_000)]
+    for text, made in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(own(text), "<u4").tolist() == made.ids, ascii(text)
+
+
+def test_other_vocabularies_go_to_the_library_whole():
+    other = str(public_tokenizers.path("byte_bpe_50k.json"))
+    own, text = packing.WordIds(other), "Two  words,\n and A line."
+    assert not own.by_chunk and packing.WordIds(PATH).by_chunk
+    assert np.frombuffer(own(text), "<u4").tolist() == Tokenizer.from_file(other).encode(text, add_special_tokens=False).ids
+
+
 def test_whole_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = packing.op4_packing(docs, PATH).collect()
