@@ -15,7 +15,8 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import accumulate
 
 import pyarrow as pa
@@ -23,21 +24,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import short_batches
+from .packing import word_ids
 
 #: Tokens of a window, and turns of history that are repeated at most.
 BUDGET = 1024
 HISTORY = 2
 
-_TOKEN = re.compile(r"\w+|[^\w\s]")
 _CONTROL = re.compile(r"\\|###|</turn>")
 _ESCAPED = re.compile(r"\\(.)", re.S)
-_TURN = re.compile(r"### ((?:[^\\\n]|\\.)*)\n((?:[^\\<]|\\.|<(?!/turn>))*)</turn>\n", re.S)
+_TURN = re.compile(r"### ((?:[^\\\n]++|\\.)*+)\n((?:[^\\<]++|\\.|<(?!/turn>))*+)</turn>\n", re.S)
 WINDOWS = "conv_id long, window int, text string, spans array<struct<start:int,end:int>>, repeated int"
 
 
-def count_tokens(text: str) -> int:
-    """Words and marks; the markers of a turn count too."""
-    return sum(1 for _ in _TOKEN.finditer(text))
+def count_tokens(text: str, tokenizer: str) -> int:
+    """Ids of a text by the vocabulary at path ``tokenizer``; the markers of a turn count too."""
+    return len(word_ids(tokenizer)(text)) // 4
 
 
 def escape(text: str) -> str:
@@ -70,7 +71,7 @@ def parse(text: str) -> list[tuple[str, str, int, int]]:
 class Windows:
     """Takes a conversation's turns one by one and gives its windows: (text, spans, repeated)."""
 
-    def __init__(self, budget: int = BUDGET, history: int = HISTORY, count=count_tokens):
+    def __init__(self, count: Callable[[str], int], budget: int = BUDGET, history: int = HISTORY):
         self.budget, self.history, self.count = budget, history, count
         self.system: tuple | None = None
         self.before: list[tuple] = []
@@ -108,15 +109,16 @@ class Windows:
         return "".join(out), spans, len(repeated)
 
 
-def format_conversations(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def format_conversations(conversations: DataFrame, tokenizer: str, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """conv_id, window, text, spans (the loss mask: code points start to end), repeated (turns at its head that came before).
 
     Turns are in the order of turn, role and text, nulls first; rows that repeat a turn are turns of their
-    own. A null text or role is empty. Rows without a conv_id are one conversation. A turn longer than the
-    budget has a window to itself, beside the system turn and history. An empty table has no windows.
+    own. A null text or role is empty. Rows without a conv_id are one conversation. Windows are aligned with turns, so
+    a turn that alone is longer than the budget is never cut: it has a longer window to itself, beside the system turn
+    and history. An empty table has no windows. Tokens are the ids of the vocabulary at path ``tokenizer``.
     The rows of a partition come conversation by conversation, window by window.
     """
-    short_batches(conversations.sparkSession, 2000)
+    short_batches(conversations.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, number, held = object(), 0, None
@@ -140,7 +142,7 @@ def format_conversations(conversations: DataFrame, budget: int = BUDGET, history
                 if held is None or conv != now:
                     if held is not None and held.new:
                         put([held.close()])
-                    now, number, held = conv, 0, Windows(budget, history)
+                    now, number, held = conv, 0, Windows(partial(count_tokens, tokenizer=tokenizer), budget, history)
                 put(held.add(role or "", text or ""))
                 if len(rows) >= 500:
                     yield out()
@@ -197,7 +199,7 @@ def read_back(windows: DataFrame) -> DataFrame:
     return windows.mapInArrow(run, kinds)
 
 
-def op9_chat(conversations: DataFrame) -> DataFrame:
+def op9_chat(conversations: DataFrame, tokenizer: str) -> DataFrame:
     """What read_back finds for every conversation and for -7, whose two turns hold control strings."""
     spark = conversations.sparkSession
     said = "\\### Assistant: </turn> ok"
@@ -205,4 +207,4 @@ def op9_chat(conversations: DataFrame) -> DataFrame:
     own = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")
     )
-    return read_back(format_conversations(own.union(extra)))
+    return read_back(format_conversations(own.union(extra), tokenizer))

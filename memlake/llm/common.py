@@ -45,9 +45,9 @@ def written(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the rows of an Arrow batch, for tables of texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def short_batches(spark: SparkSession) -> None:
+    """Bounds the rows of an Arrow batch, for tables of texts. All operators use one bound, as results are lazy."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import ann, chat, decontam, html, langid, neardup, packing, pii, quality, sharding
 from .common import table
 
-#: Folder-independent name of the vocabulary that op4 packs by.
+#: Folder-independent name of the vocabulary that op4 packs by and op9 counts by.
 PACK_TOKENIZER = "word_bpe_49k.json"
 
 
@@ -29,7 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_sharding": lambda s, d: sharding.op6_sharding(table(s, d, "documents")),
         "op7_neighbours": lambda s, d: ann.op7_neighbours(table(s, d, "embeddings")),
         "op8_pii": lambda s, d: pii.op8_pii(table(s, d, "documents")),
-        "op9_chat": lambda s, d: chat.op9_chat(table(s, d, "conversations")),
+        "op9_chat": lambda s, d: chat.op9_chat(table(s, d, "conversations"), tokenizer_path(PACK_TOKENIZER)),
         "op10_near_duplicates": lambda s, d: neardup.op10_near_duplicates(table(s, d, "documents")),
     }
 
