@@ -156,11 +156,21 @@ def _top(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -score[at]))][:k]
 
 
-def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, each added up in the order of the components."""
-    total = np.zeros(len(x))
-    for j in range(len(q)):
-        total += q[j] * x[:, j]
+def best(score: np.ndarray, k: int) -> np.ndarray:
+    """The columns of the k greatest scores of each row, best first, ties to the left."""
+    parts = [np.argsort(-score[:, c : c + 1024], axis=1, kind="stable")[:, :k] + c for c in range(0, score.shape[1], 1024)]
+    at = np.concatenate(parts, axis=1)
+    if len(parts) > 1:
+        order = np.argsort(-np.take_along_axis(score, at, 1), axis=1, kind="stable")[:, :k]
+        at = np.take_along_axis(at, order, 1)
+    return at
+
+
+def exact(q: np.ndarray, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Inner products of each row of q with the rows of x that ``at`` names, in double precision, by component in order."""
+    total = np.zeros(at.shape)
+    for j in range(q.shape[1]):
+        total += q[:, j, None] * x[at, j]
     return total
 
 
@@ -269,20 +279,21 @@ class Index:
             out: list[list] = [[], [], []]
             if left.num_rows and right.num_rows:
                 x, own = _matrix(right.column("v").combine_chunks()), right.column("vec_id").to_numpy()
+                by_id = np.argsort(own, kind="stable")
+                x, own = x[by_id], own[by_id]
                 asks, of = _matrix(left.column("v").combine_chunks()), left.column("query_id").to_numpy()
                 for at in range(0, len(of), 512):
-                    product = asks[at : at + 512] @ x.T
-                    for j in range(len(product)):
-                        s = product[j]
-                        s[own == of[at + j]] = -np.inf
-                        # A few more than k, since the exact sums may differ in the last place.
-                        top = _top(s, own, k + 8)
-                        top = top[s[top] > -np.inf]
-                        e = exact(asks[at + j], x[top])
-                        top2 = _top(e, own[top], k)
-                        out[0].append(np.full(len(top2), of[at + j]))
-                        out[1].append(own[top][top2])
-                        out[2].append(e[top2])
+                    q, ids = asks[at : at + 512], of[at : at + 512]
+                    # Equal vectors get equal rounded scores; a few more than k are added up anew, exactly.
+                    score = np.round(q @ x.T, 12)
+                    score[own == ids[:, None]] = -np.inf
+                    top = np.sort(best(score, k + 8), axis=1)
+                    e = np.where(np.take_along_axis(score, top, 1) > -np.inf, exact(q, x, top), -np.inf)
+                    rank = np.argsort(-e, axis=1, kind="stable")[:, :k]
+                    e, top = np.take_along_axis(e, rank, 1), np.take_along_axis(top, rank, 1)
+                    row, place = np.nonzero(e > -np.inf)
+                    for held, found in zip(out, (ids[row], own[top[row, place]], e[row, place]), strict=True):
+                        held.append(found)
             cols = [np.concatenate(c) if c else np.zeros(0) for c in out]
             return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
