@@ -1,14 +1,16 @@
 """Surrogates for personal data and secrets (native: DataFrame functions only).
 
-Entities are found by one pattern; each gets a replacement of its own kind that is derived from a key and the
-entity as it is written, so equal entities have equal surrogates everywhere (coreference). A surrogate keeps
-the format: each digit becomes a digit, each letter a letter of its case and script, marks stay, an address
-stays an address, a card number passes its check digit, a name takes a name of the gender and script that its
-title and letters show.
-
-Distinct entities are gathered over the corpus, pre-aggregated, and their surrogates checked for collisions:
-with one another and with any entity that occurs. Those that collide draw again, counting up, until none is
-left. Only redrawn entities differ from the plain derivation, so texts without one are rewritten without a
+Entities are found by one pattern. What an entity names, however it is written, is its canonical form: an address
+without regard to case, the digits of a phone or card number, an account number without spaces, a secret without the
+words before it, a name without its title's mark and the case of its letters, with the title's gender. A surrogate is
+derived from a key and the canonical form and then written as the entity is (coreference): each digit becomes a digit,
+each letter a letter of its case and script, marks and spaces stay, an address stays an address, a card number passes
+its check digit, a name takes a name of its gender and script, and a family name is the same with and without a
+given name before it.
+
+Distinct canonical forms are gathered over the corpus, pre-aggregated, and their surrogates checked for collisions:
+with one another and with any form that occurs. Those that collide draw again, counting up, until none is
+left. Only redrawn forms differ from the plain derivation, so texts without one are rewritten without a
 join, and the few others are joined on the redrawn ones.
 """
 
@@ -25,9 +27,11 @@ BROADCAST_ROWS = 100_000
 MOST_DRAWS = 50
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_NAME = r"\p{Lu}[\p{L}'’-]+(?:[  ]\p{Lu}[\p{L}'’-]+){0,2}"
+_NAME = r"\p{Lu}[\p{L}'’-]+(?:[ \u00a0]\p{Lu}[\p{L}'’-]+){0,2}"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа|г-жа"
 MALE = "Mr|Herr|Monsieur|Señor|Sr|Господин|г-н"
+#: Titles of either gender; the name then takes one by its hash.
+EITHER = "Dr|Prof|Professor|Доктор"
 #: Kind, pattern, and a cheaper pattern that holds wherever it does. Earlier kinds win where two begin alike.
 KINDS: list[tuple[str, str]] = [
     ("email", r"(?<![\w.%+@-])[\p{L}\d][\p{L}\d._%+-]{0,63}@[\p{L}\d](?:[\p{L}\d-]*[\p{L}\d])?(?:\.[\p{L}\d](?:[\p{L}\d-]*[\p{L}\d])?)*\.\p{L}{2,}"),
@@ -38,11 +42,11 @@ KINDS: list[tuple[str, str]] = [
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"),
     ("phone", r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"),
-    ("name", rf"(?<![\p{{L}}])(?:{FEMALE}|{MALE})\.?[  ]{_NAME}"),
+    ("name", rf"(?<![\p{{L}}])(?:{FEMALE}|{MALE}|{EITHER})\.?[ \u00a0]{_NAME}"),
 ]
 PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
 #: Holds for every text that PATTERN is found in; most texts fail it at once.
-HINT = rf"[@=:]|\d[\d. ()-]{{3}}|AKIA|ASIA|ghp_|gho_|sk-|xox|(?:{FEMALE}|{MALE})\.?[  ]\p{{Lu}}"
+HINT = rf"[@=:]|\d[\d. ()-]{{3}}|AKIA|ASIA|ghp_|gho_|sk-|xox|(?:{FEMALE}|{MALE}|{EITHER})\.?[ \u00a0]\p{{Lu}}"
 
 _FIRST = {
     ("f", "latin"): "Anna Clara Edith Greta Helen Irene Julia Karin Laura Maria Nora Paula Rosa Sofia Vera Wanda".split(),
@@ -75,9 +79,54 @@ def card_sum(digits: Column, doubled: int) -> Column:
     return F.aggregate(each, F.lit(0), lambda total, x: add(total, x["d"], x["i"]))
 
 
-def digest(entity: Column, kind: Column, draw: Column, key: str) -> Column:
+#: Stands between the parts of a canonical form.
+_SEP = "\x1f"
+
+
+def canonical(entity: Column) -> Column:
+    """What an entity names: its kind, what stays before the part that is drawn anew, that part, and what stays after."""
+    return let(kind_of(entity), lambda kind: let(F.struct(kind.alias("kind"), _head(entity, kind).alias("head"), _tail(entity, kind).alias("tail")), lambda x: _canonical(entity, x)))
+
+
+def _head(entity: Column, kind: Column) -> Column:
+    """What stays as it is before the part that is drawn anew."""
+    return (
+        F.when(kind == "secret", F.regexp_replace(entity, rf"{_VALUE}$", ""))
+        .when(kind == "key", F.regexp_extract(entity, r"^(?:AKIA|ASIA|ghp_|gho_|sk-|xox[abp]-)", 0))
+        .when(kind == "iban", F.substr(entity, F.lit(1), F.lit(2)))
+        .when(kind == "phone", F.regexp_extract(entity, r"^\+\d{1,3}(?=[ .(-])", 0))
+        .when(kind == "name", F.regexp_extract(entity, rf"^(?:{FEMALE}|{MALE}|{EITHER})\.?[ \u00a0]", 0))
+        .otherwise("")
+    )
+
+
+def _tail(entity: Column, kind: Column) -> Column:
+    return F.when(kind == "email", F.regexp_extract(entity, r"\.\p{L}{2,}$", 0)).otherwise("")
+
+
+def _core(entity: Column, x: Column) -> Column:
+    return F.substr(entity, F.length(x["head"]) + 1, F.length(entity) - F.length(x["head"]) - F.length(x["tail"]))
+
+
+def _canonical(entity: Column, x: Column) -> Column:
+    kind, core = x["kind"], _core(entity, x)
+    gender = F.when(F.regexp_like(x["head"], F.lit(rf"^(?:{FEMALE})[. \u00a0]")), "f").when(F.regexp_like(x["head"], F.lit(rf"^(?:{EITHER})[. \u00a0]")), "n").otherwise("m")
+    # Of a prefix only what tells one thing from another is kept.
+    before = F.when(kind == "name", gender).when(kind == "secret", F.lit("")).otherwise(F.lower(x["head"]))
+    middle = (
+        F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(core, r"\D", ""))
+        .when(kind == "iban", F.regexp_replace(core, " ", ""))
+        .when(kind == "secret", F.regexp_replace(core, r"^[\"']|[\"']$", ""))
+        .when(kind == "name", F.regexp_replace(F.lower(core), "[ \u00a0]+", " "))
+        .when(kind == "email", F.lower(core))
+        .otherwise(core)
+    )
+    return F.concat_ws(_SEP, kind, before, middle, F.lower(x["tail"]))
+
+
+def digest(canon: Column, draw: Column, key: str) -> Column:
     """256 bits as 64 hex digits, keyed at both ends."""
-    return F.sha2(F.concat_ws("\x1f", F.lit(key), kind, draw.cast("string"), F.sha2(F.concat(F.lit(key), kind, entity), 256)), 256)
+    return F.sha2(F.concat_ws(_SEP, F.lit(key), draw.cast("string"), F.sha2(F.concat(F.lit(key), canon), 256)), 256)
 
 
 def _number(hexes: Column, at: Column, digits: int = 4) -> Column:
@@ -114,54 +163,80 @@ def reshaped(text: Column, hexes: Column, hex_only: Column | None = None) -> Col
     return F.array_join(F.transform(chars, one), "")
 
 
-def surrogate(entity: Column, draw: Column, key: str) -> Column:
-    """The replacement of an entity at a draw (0 first). Depends on nothing else."""
-    return let(kind_of(entity), lambda kind: let(digest(entity, kind, draw, key), lambda h: _surrogate(entity, kind, h)))
+def stand_in(canon: Column, draw: Column, key: str) -> Column:
+    """The canonical form that replaces ``canon`` at a draw (0 first). Depends on nothing else."""
+    return let(F.split(canon, _SEP, -1), lambda p: let(digest(canon, draw, key), lambda h: _stand_in(p, h, draw, key)))
 
 
-def _surrogate(entity: Column, kind: Column, h: Column) -> Column:
-    # What stays before and after the part that is drawn anew.
-    head = (
-        F.when(kind == "secret", F.regexp_replace(entity, rf"{_VALUE}$", ""))
-        .when(kind == "key", F.regexp_extract(entity, r"^(?:AKIA|ASIA|ghp_|gho_|sk-|xox[abp]-)", 0))
-        .when(kind == "iban", F.substr(entity, F.lit(1), F.lit(2)))
-        .when(kind == "phone", F.regexp_extract(entity, r"^\+\d{1,3}(?=[ .(-])", 0))
-        .otherwise("")
-    )
-    tail = F.when(kind == "email", F.regexp_extract(entity, r"\.\p{L}{2,}$", 0)).otherwise("")
-
-    def shaped(x: Column) -> Column:
-        part = let(
-            F.substr(entity, F.length(x["head"]) + 1, F.length(entity) - F.length(x["head"]) - F.length(x["tail"])),
-            lambda middle: reshaped(middle, h, F.regexp_like(middle, F.lit(r"^[\"']?[0-9a-f]+[\"']?$")) & (kind == "secret")),
-        )
-        return F.concat(x["head"], part, x["tail"])
-
-    drawn = let(F.struct(head.alias("head"), tail.alias("tail")), shaped)
-    digits = lambda c: F.regexp_replace(c, r"\D", "")
+def _stand_in(p: Column, h: Column, draw: Column, key: str) -> Column:
+    kind, before, middle, after = (F.get(p, F.lit(k)) for k in range(4))
 
     def checked(d: Column) -> Column:
         """The last digit set so that the check sum holds, if it held for the entity."""
         body = F.substr(d, F.lit(1), F.length(d) - 1)
-        return F.when(card_sum(digits(entity), 1) % 10 == 0, F.concat(body, ((10 - card_sum(digits(body), 0) % 10) % 10).cast("string"))).otherwise(d)
+        return F.when(card_sum(middle, 1) % 10 == 0, F.concat(body, ((10 - card_sum(body, 0) % 10) % 10).cast("string"))).otherwise(d)
 
+    drawn = reshaped(middle, h, F.regexp_like(middle, F.lit("^[0-9a-f]+$")) & (kind == "secret"))
     octet = lambda k, lo, n: (F.pmod(_number(h, F.lit(k)), F.lit(n)) + lo).cast("string")
     ip = F.concat_ws(".", octet(0, 1, 223), octet(7, 0, 256), octet(14, 0, 256), octet(21, 1, 254))
-    return F.when(kind == "card", let(drawn, checked)).when(kind == "ip", ip).when(kind == "name", _name(entity, h)).otherwise(drawn)
+    new = F.when(kind == "card", let(drawn, checked)).when(kind == "ip", ip).when(kind == "name", _name(before, middle, h, draw, key)).otherwise(drawn)
+    return F.concat_ws(_SEP, kind, before, new, after)
 
 
-def _name(entity: Column, h: Column) -> Column:
-    """The title, then a name of its gender, of the first letter's script and of as many parts."""
-    title = F.regexp_extract(entity, rf"^(?:{FEMALE}|{MALE})\.?[  ]", 0)
-    name = F.substr(entity, F.length(title) + 1, F.length(entity))
-    gender = F.when(F.regexp_like(title, F.lit(rf"^(?:{FEMALE})[.  ]")), "f").otherwise("m")
+def _name(gender: Column, name: Column, h: Column, draw: Column, key: str) -> Column:
+    """A name, in lower case, of the gender, of the first letter's script and of as many parts.
+
+    The last part follows from the last part of ``name`` alone, whatever is before it, unless it is drawn again.
+    """
+    parts = F.split(name, " ")
     script = F.when(F.regexp_like(name, F.lit(r"^\p{IsCyrillic}")), "cyrillic").otherwise("latin")
-    firsts = F.create_map(*[x for (g, s), names in _FIRST.items() for x in (F.lit(g + s), F.array(*map(F.lit, names)))])
-    some = F.create_map(*[x for s, parts in _SYLLABLES.items() for x in (F.lit(s), F.array(*map(F.lit, parts)))])
-    pick = lambda array, k: F.get(array, F.pmod(_number(h, k), F.size(array)))
-    last = lambda i: F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: pick(F.element_at(some, script), i * 23 + j * 5 + 5)), ""))
-    part = lambda w, i: F.when((i == 0) & (F.size(F.split(name, "[  ]")) > 1), pick(F.element_at(firsts, F.concat(gender, script)), F.lit(1))).otherwise(last(i))
-    return F.concat(title, F.array_join(F.transform(F.split(name, "[  ]"), part), " "))
+    either = F.when(F.pmod(_number(h, F.lit(50)), F.lit(2)) == 0, "f").otherwise("m")
+    firsts = F.create_map(*[x for (g, s), names in _FIRST.items() for x in (F.lit(g + s), F.array(*[F.lit(n.lower()) for n in names]))])
+    some = F.create_map(*[x for s, syllables in _SYLLABLES.items() for x in (F.lit(s), F.array(*map(F.lit, syllables)))])
+    pick = lambda array, hexes, k: F.get(array, F.pmod(_number(hexes, k), F.size(array)))
+    family = F.when(draw == 0, digest(F.concat(F.lit("family"), F.element_at(parts, -1)), draw, key)).otherwise(h)
+    made = lambda hexes, i: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: pick(F.element_at(some, script), hexes, i * 23 + j * 5 + 5)), "")
+    given = pick(F.element_at(firsts, F.concat(F.when(gender == "n", either).otherwise(gender), script)), h, F.lit(1))
+
+    def part(w: Column, i: Column) -> Column:
+        return F.when(i == F.size(parts) - 1, made(family, F.lit(0))).when(i == 0, given).otherwise(made(h, i))
+
+    return F.array_join(F.transform(parts, part), " ")
+
+
+def written_as(entity: Column, canon: Column) -> Column:
+    """A canonical form written as ``entity`` is: its head, tail, marks and the case of its letters."""
+    parts = F.struct(kind_of(entity).alias("kind"), F.get(F.split(canon, _SEP, -1), F.lit(2)).alias("new"))
+    return let(parts, lambda p: let(F.struct(p["kind"].alias("kind"), p["new"].alias("new"), _head(entity, p["kind"]).alias("head"), _tail(entity, p["kind"]).alias("tail")), lambda x: _written(entity, x)))
+
+
+def _written(entity: Column, x: Column) -> Column:
+    core, new = _core(entity, x), x["new"]
+    start = F.struct(F.lit("").alias("made"), F.lit(1).alias("at"))
+
+    def lay(kept: str) -> Column:
+        """The characters of the new form in a row, with those of the entity that match ``kept`` in their places."""
+
+        def one(done: Column, c: Column) -> Column:
+            n = F.substr(new, done["at"], F.lit(1))
+            cased = F.when(c.rlike(r"^\p{Lu}$"), F.upper(n)).otherwise(n)
+            stays = c.rlike(kept)
+            return F.struct(F.concat(done["made"], F.when(stays, c).otherwise(cased)).alias("made"), (done["at"] + F.when(stays, 0).otherwise(1)).alias("at"))
+
+        return F.aggregate(F.split(core, ""), start, one, lambda done: done["made"])
+
+    name = F.when(F.regexp_like(core, F.lit(r"\p{Ll}")), F.initcap(new)).otherwise(F.upper(new))
+    # The spaces between the parts of a name stay as they are.
+    spaced = F.array_join(F.zip_with(F.split(name, " "), F.split(F.regexp_replace(core, "[^ \u00a0]+", "x"), "x"), lambda w, gap: F.concat(F.coalesce(gap, F.lit("")), F.coalesce(w, F.lit("")))), "")
+    made = (
+        F.when(x["kind"].isin("phone", "card", "ssn"), lay(r"^\D$"))
+        .when(x["kind"] == "iban", lay("^ $"))
+        .when(x["kind"] == "secret", lay("^[\"']$"))
+        .when(x["kind"] == "email", lay("^$"))
+        .when(x["kind"] == "name", spaced)
+        .otherwise(new)
+    )
+    return F.concat(x["head"], made, x["tail"])
 
 
 def entities(text: Column) -> Column:
@@ -170,39 +245,41 @@ def entities(text: Column) -> Column:
 
 
 def draws(found: DataFrame, key: str) -> DataFrame:
-    """entity, draw of the distinct entities whose first surrogate would collide; ``found`` has them all once.
+    """canon, draw of the distinct canonical forms whose first surrogate would collide; ``found`` has them all once.
 
-    A collision is a surrogate that another entity has (the smaller entity keeps it) or that is itself an
-    entity of the corpus, its own included. Each round writes what it redrew.
+    A collision is a surrogate that another form has (the smaller form keeps it) or that is itself a form of the
+    corpus, its own included. Each round writes what it redrew.
     """
-    one = lambda d: d.withColumn("s", surrogate(F.col("entity"), F.col("draw"), key))
-    drawn = written(one(found.select("entity", F.lit(0).alias("draw"))), "surrogates")
+    one = lambda d: d.withColumn("s", stand_in(F.col("canon"), F.col("draw"), key))
+    drawn = written(one(found.select("canon", F.lit(0).alias("draw"))), "surrogates")
     redrawn = None
     for _ in range(MOST_DRAWS):
-        owner = drawn.groupBy("s").agg(F.min(F.struct(F.col("draw") * -1, F.col("entity"))).alias("o"), F.count("*").alias("n"))
-        twice = drawn.join(owner.where("n > 1"), "s").where(F.struct(F.col("draw") * -1, F.col("entity")) != F.col("o")).select("entity")
-        real = drawn.join(found.select(F.col("entity").alias("s")), "s", "left_semi").select("entity")
+        owner = drawn.groupBy("s").agg(F.min(F.struct(F.col("draw") * -1, F.col("canon"))).alias("o"), F.count("*").alias("n"))
+        twice = drawn.join(owner.where("n > 1"), "s").where(F.struct(F.col("draw") * -1, F.col("canon")) != F.col("o")).select("canon")
+        real = drawn.join(found.select(F.col("canon").alias("s")), "s", "left_semi").select("canon")
         bad = written(twice.union(real).distinct(), "collisions")
         if bad.isEmpty():
             break
-        again = one(drawn.join(bad, "entity", "left_semi").select("entity", (F.col("draw") + 1).alias("draw")))
-        drawn = written(drawn.join(bad, "entity", "left_anti").union(again.select(*drawn.columns)), "surrogates")
-        redrawn = drawn.where("draw > 0").select("entity", "draw")
+        again = one(drawn.join(bad, "canon", "left_semi").select("canon", (F.col("draw") + 1).alias("draw")))
+        drawn = written(drawn.join(bad, "canon", "left_anti").union(again.select(*drawn.columns)), "surrogates")
+        redrawn = drawn.where("draw > 0").select("canon", "draw")
     else:
         raise RuntimeError("surrogates still collide; are there more entities of a kind than surrogates?")
-    return redrawn if redrawn is not None else found.limit(0).select("entity", F.lit(0).alias("draw"))
+    return redrawn if redrawn is not None else found.limit(0).select("canon", F.lit(0).alias("draw"))
 
 
-def replace_pii(docs: DataFrame, key: str = "memlake") -> DataFrame:
+def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with entities in ``text`` replaced, and ``n_entities`` (int) added (replaced, if there).
 
-    Null texts stay null with 0 entities; texts without an entity stay as they are, byte for byte. Rows keep
-    their number and other columns. Equal entities get equal surrogates and different ones different ones,
-    over the whole table, and no surrogate is an entity that occurs.
+    ``key`` is secret: who has it can check a guess. Null texts stay null with 0 entities; texts without an entity
+    stay as they are, byte for byte. Rows keep their number and other columns. Entities of one canonical form get
+    one surrogate, each written as it is, and different ones different ones, over the whole table, and no surrogate
+    is an entity that occurs.
     """
     found_in = F.explode(F.array_distinct(entities(F.col("text"))))
-    found = written(docs.select(found_in.alias("entity")).distinct(), "entities")
-    redrawn = written(draws(found, key), "redrawn")
+    spelled = written(docs.select(found_in.alias("entity")).distinct().withColumn("canon", canonical(F.col("entity"))), "entities")
+    redrawn = draws(spelled.select("canon").distinct(), key)
+    redrawn = written(spelled.join(redrawn, "canon").select("entity", "draw"), "redrawn")
     many = redrawn.count()
     e, z = fresh(docs, "_entities"), fresh(docs, "_draws")
     own = [c for c in docs.columns if c.lower() != "n_entities"]
@@ -215,7 +292,7 @@ def replace_pii(docs: DataFrame, key: str = "memlake") -> DataFrame:
 
     def made(x: Column) -> Column:
         draw = F.coalesce(F.get(F.map_values(F.map_filter(F.col(z), lambda k, v: k == x)), F.lit(0)), F.lit(0))
-        return surrogate(x, draw, key)
+        return let(stand_in(canonical(x), draw, key), lambda new: written_as(x, new))
 
     joined = F.array_join(
         F.zip_with(pieces, F.transform(F.col(e), made), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""
@@ -238,6 +315,6 @@ def _with_draws(base: DataFrame, redrawn: DataFrame, e: str, z: str, many: int)
     return base.join(F.broadcast(maps) if small else maps, base[e] == maps["es"], "left").drop("es")
 
 
-def op8_pii(docs: DataFrame) -> DataFrame:
+def op8_pii(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text with surrogates, and n_entities of every document."""
-    return replace_pii(docs.select("doc_id", "text"))
+    return replace_pii(docs.select("doc_id", "text"), key)

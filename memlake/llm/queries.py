@@ -19,6 +19,11 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The key of surrogates: the session's ``memlake.pii.key``, or for the test tables a word that is no secret."""
+    return spark.conf.get("memlake.pii.key", None) or "not a secret"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": lambda s, d: quality.op1_quality(table(s, d, "documents"), table(s, d, "labels")),
@@ -28,7 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontamination": lambda s, d: decontam.op5_decontamination(table(s, d, "documents"), table(s, d, "benchmark")),
         "op6_sharding": lambda s, d: sharding.op6_sharding(table(s, d, "documents")),
         "op7_neighbours": lambda s, d: ann.op7_neighbours(table(s, d, "embeddings")),
-        "op8_pii": lambda s, d: pii.op8_pii(table(s, d, "documents")),
+        "op8_pii": lambda s, d: pii.op8_pii(table(s, d, "documents"), pii_key(s)),
         "op9_chat": lambda s, d: chat.op9_chat(table(s, d, "conversations"), tokenizer_path(PACK_TOKENIZER)),
         "op10_near_duplicates": lambda s, d: neardup.op10_near_duplicates(table(s, d, "documents")),
     }

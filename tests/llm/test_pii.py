@@ -3,6 +3,7 @@ import re
 from memlake.llm import pii
 from pyspark.sql import functions as F
 
+KEY = "a test"
 ENTITIES = [
     "anna.b-1@mail8.example.com", "x@y.de", "иван@почта.рф", "+1 (988) 555-2485", "(456) 555-2186", "+49 30 1234567", "212-555-0187",
     "4111111111111111", "4111 1111 1111 1111", "4041894974608795", "70.123.182.155", "1.2.3.4", "078-05-1120", "DE89 3704 0044 0532 0130 00",
@@ -23,7 +24,7 @@ def shape(s):
 
 def test_each_kind_is_replaced_in_kind(spark):
     docs = spark.createDataFrame([(i, f"See {e} now") for i, e in enumerate(ENTITIES)] + [(100 + i, c) for i, c in enumerate(CLEAN)], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in pii.op8_pii(docs).collect()}
+    got = {r["doc_id"]: r for r in pii.op8_pii(docs, KEY).collect()}
     for i, c in enumerate(CLEAN):
         assert got[100 + i]["text"] == c and got[100 + i]["n_entities"] == 0
     made = {}
@@ -50,7 +51,7 @@ def test_coreference_nulls_repeats_clashes(spark):
     a, b = ENTITIES[0], ENTITIES[7]
     rows = [(1, f"{a}, {b} {a}", 5), (1, f"{a}, {b} {a}", 5), (2, None, 1), (3, "", 1), (None, f"{b}" + " long" * 40000 + f" {a}", 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _entities int").withColumn("N_Entities", F.lit("x"))
-    made = pii.replace_pii(docs)
+    made = pii.replace_pii(docs, KEY)
     assert made.columns == ["doc_id", "text", "_entities", "n_entities"]
     got = made.collect()
     texts = {r["doc_id"]: r["text"] for r in got}
@@ -58,7 +59,7 @@ def test_coreference_nulls_repeats_clashes(spark):
     x, y, z = re.fullmatch(r"(\S+), (\d+) (\S+)", texts[1]).groups()
     assert x == z and texts[None] == y + " long" * 40000 + " " + x
     assert [r["n_entities"] for r in got if r["doc_id"] in (1, 2, 3)] == [3, 3, 0, 0]
-    assert pii.replace_pii(docs.limit(0)).count() == 0
+    assert pii.replace_pii(docs.limit(0), KEY).count() == 0
     other = pii.replace_pii(docs, key="another").collect()
     assert {r["doc_id"]: r["text"] for r in other}[1] != texts[1]
 
@@ -67,21 +68,47 @@ def test_collisions_draw_again(spark):
     """Two-letter addresses have few surrogates, so many collide at first."""
     many = sorted({f"{a}@{b}.de" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abc"})
     docs = spark.createDataFrame([(i, f"to {m}, thanks {m}") for i, m in enumerate(many)], "doc_id long, text string")
-    found = spark.createDataFrame([(m,) for m in many], "entity string")
-    redrawn = {r["entity"]: r["draw"] for r in pii.draws(found, "memlake").collect()}
+    found = spark.createDataFrame([(m,) for m in many], "entity string").select(pii.canonical(F.col("entity")).alias("canon"))
+    redrawn = {r["canon"]: r["draw"] for r in pii.draws(found, KEY).collect()}
     assert len(redrawn) > 5
-    got = {r["doc_id"]: r["text"] for r in pii.op8_pii(docs).collect()}
+    got = {r["doc_id"]: r["text"] for r in pii.op8_pii(docs, KEY).collect()}
     made = [re.fullmatch(r"to (\S+), thanks (\S+)", got[i]).groups() for i in range(len(many))]
     assert all(a == b for a, b in made)
     firsts = [a for a, _ in made]
     assert len(set(firsts)) == len(many) and not set(firsts) & set(many)
 
 
+SAME = [
+    ["Mr. Smith", "Mr Smith", "Mr. SMITH", "Mr Smith"], ["a@b.com", "A@B.com", "A@b.COM"], ["+1 (988) 555-2485", "+1 988 555 2485", "+1-988.555.2485"],
+    ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"], ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"],
+    ['token = "0641917ea4e9feb9cda8"', "password=0641917ea4e9feb9cda8"], ["Mrs. Clara Jones", "Mrs CLARA JONES"], ["г-жа Анна Петрова", "Госпожа АННА Петрова"],
+]
+
+
+def test_one_thing_in_several_spellings_has_one_surrogate(spark):
+    names = ["Mr. John Smith", "Dr. Smith", "Prof. Smith", "Mrs. Smith", "Mr. Smythe", "Dr. Ann Lee"]
+    lone = [e for group in SAME for e in group]
+    docs = spark.createDataFrame([(i, f"I met {e}; then") for i, e in enumerate(lone + names)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"][6:-6] for r in pii.op8_pii(docs, KEY).collect()}
+    made = {e: got[i] for i, e in enumerate(lone + names)}
+    canon = lambda s: re.sub(r"^(?:Mrs?|г-жа|Госпожа)\.?[\s\u00a0]|^(?:token = |password=)|[^\w@]|_", "", s).lower()
+    seen = set()
+    for group in SAME:
+        forms = {canon(made[e]) for e in group}
+        assert len(forms) == 1 and not forms & seen and canon(group[0]) not in forms, (group, forms)
+        seen |= forms
+        assert all(shape(made[e]) == shape(e) for e in group if "@" in e or e[0] in "+4D"), [made[e] for e in group]
+    assert made["Mr. SMITH"].isupper() is False and made["Mr. SMITH"].split()[1].isupper() and made["Mrs CLARA JONES"].split()[1].isupper()
+    assert made["Mr. John Smith"].split()[-1] == made["Mr. Smith"].split()[-1] != made["Mr. Smythe"].split()[-1]
+    assert made["Mr. John Smith"].split()[1] in pii._FIRST["m", "latin"] and made["Dr. Ann Lee"].split()[1] in pii._FIRST["m", "latin"] + pii._FIRST["f", "latin"]
+    assert luhn(made["4111111111111111"])
+
+
 def test_nothing_private_stays(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     pattern = re.compile(r"[\w.]+@[\w.]+\.com|AKIA[0-9A-Z]{16}|\b\d{16}\b|\b\d{1,3}(?:\.\d{1,3}){3}\b|password=\w+|\"[0-9a-f]{40}\"|\(\d{3}\) \d{3}-\d{4}")
     was = {m for r in docs.collect() for m in pattern.findall(r["text"])}
-    rows = pii.op8_pii(docs).collect()
+    rows = pii.op8_pii(docs, KEY).collect()
     assert was and not any(m in was for r in rows for m in pattern.findall(r["text"]))
     before = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert all(r["text"] == before[r["doc_id"]] for r in rows if not pattern.search(before[r["doc_id"]]))
