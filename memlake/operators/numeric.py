@@ -256,3 +256,25 @@ def residual_codes(frames: DataFrame, codebooks: list[list[list[float]]]) -> Dat
         return pa.StructArray.from_arrays([pa.array(kept, pa.list_(pa.int32())), pa.array((left**2).mean(axis=1))], ["codes", "mse"])
 
     return frames.select("id", of(F.col("vec")).alias("c")).select("id", "c.codes", "c.mse")
+
+
+def causal_attention(rows: DataFrame, values: int, block: int = 1024) -> DataFrame:
+    """i, y of rows (i: place from 0, x: key, query and value in one): the first of ``values`` components, weighted by exp(x . x') over all places up to i.
+
+    Blocks of places meet in pairs, each one product, and give sums that are added up; ties in i are rows of their own.
+    """
+    x = rows.where("i is not null and x is not null").select(F.col("i").cast("long").alias("i"), F.col("x").cast("array<double>").alias("x"), F.floor(F.col("i") / block).alias("own"))
+    last = x.agg(F.coalesce(F.max("own"), F.lit(0))).first()[0]
+    asks = x.select("i", "x", F.col("own").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("own"))).alias("k"))
+    keys = x.select("i", "x", F.explode(F.sequence(F.col("own"), F.lit(last).cast("long"))).alias("q"), F.col("own").alias("k"))
+
+    def part(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        of = lambda t: (t.column("i").to_numpy(), np.array(t.column("x").to_pylist(), np.float64).reshape(t.num_rows, -1))
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"i": pa.array([], pa.int64()), "a": pa.array([], pa.float64()), "b": pa.array([], pa.float64())})
+        (i, q), (j, k) = of(left), of(right)
+        e = np.where(j <= i[:, None], np.exp(q @ k.T), 0.0)
+        return pa.table({"i": i, "a": e @ k[:, values - 1], "b": e.sum(axis=1)})
+
+    sums = asks.groupBy("q", "k").cogroup(keys.groupBy("q", "k")).applyInArrow(part, "i long, a double, b double")
+    return sums.groupBy("i").agg(F.round(F.sum("a") / F.sum("b"), 9).alias("y"))

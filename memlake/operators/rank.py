@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..functions.vectors import cosine
+from ..sources.tables import written
 
 DIGITS = 9
 
@@ -20,66 +23,194 @@ def top(scored: DataFrame, query: str, k: int, *order) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*order))).where(F.col("rank") <= k)
 
 
+class Best:
+    """The k best (score, id) of each of n queries over batches: memory for k a query, whatever the number of rows."""
+
+    def __init__(self, qids: np.ndarray, k: int):
+        self.qids, self.k = qids, k
+        self.score, self.id = np.full((len(qids), 0), -np.inf), np.zeros((len(qids), 0), np.int64)
+
+    def add(self, score: np.ndarray, ids: np.ndarray) -> None:
+        """score: queries x rows, -inf where a row is no hit."""
+        score = np.concatenate([self.score, score], axis=1)
+        ids = np.concatenate([self.id, np.broadcast_to(ids, (len(self.qids), len(ids)))], axis=1)
+        if score.shape[1] > 4 * self.k:
+            # Ties with the k-th score stay, so that the smallest ids are among what is sorted.
+            cut = np.partition(score, score.shape[1] - self.k, axis=1)[:, -self.k][:, None]
+            most = int((score >= cut).sum(axis=1).max())
+            at = np.argsort(-score, axis=1, kind="stable")[:, :most]
+            score, ids = np.take_along_axis(score, at, 1), np.take_along_axis(ids, at, 1)
+        at = np.lexsort((ids, -score), axis=1)[:, : self.k]
+        self.score, self.id = np.take_along_axis(score, at, 1), np.take_along_axis(ids, at, 1)
+
+    def batch(self) -> pa.RecordBatch:
+        row, col = np.nonzero(self.score > -np.inf)
+        return pa.RecordBatch.from_arrays([pa.array(self.qids[row]), pa.array(self.id[row, col]), pa.array(self.score[row, col])], ["qid", "id", "score"])
+
+
+class Scorer:
+    """A stated set of queries (qids) against all rows: ``score`` makes a batch of ``rows`` (id first) a matrix, queries x rows."""
+
+    def __init__(self, rows: DataFrame, qids: np.ndarray, model, score: Callable):
+        self.rows, self.score = rows.withColumn("id", F.col("id").cast("long")), score
+        self.sent = rows.sparkSession.sparkContext.broadcast((qids, model))
+
+    def best(self, k: int) -> DataFrame:
+        """qid, id, score, rank of the k best, ties to the smaller id; a task gives k a query."""
+        sent, score = self.sent, self.score
+
+        def run(batches):
+            qids, model = sent.value
+            held = Best(qids, k)
+            for batch in batches:
+                if batch.num_rows and len(qids):
+                    held.add(score(model, batch), batch.column(0).to_numpy(zero_copy_only=False))
+            yield held.batch()
+
+        return top(self.rows.mapInArrow(run, "qid long, id long, score double"), "qid", k, F.desc("score"), "id")
+
+    def places(self, named: DataFrame, most: int = 1_000_000) -> DataFrame:
+        """qid, id, rank that the pairs in ``named`` have among all rows; those that are no hit are left out.
+
+        ``named`` holds a bounded number of rows a query. It is sent to the executors, which count the better rows.
+        """
+        pairs = named.select("qid", "id").limit(most + 1).collect()
+        if len(pairs) > most:
+            raise ValueError(f"more than {most} rows to be placed; send the queries in blocks")
+        sent, score = self.sent, self.score
+        wanted: dict[int, list[int]] = {}
+        for q, i in pairs:
+            wanted.setdefault(q, []).append(i)
+
+        def own(batches):
+            qids, model = sent.value
+            for batch in batches:
+                ids, s = batch.column(0).to_numpy(zero_copy_only=False), score(model, batch)
+                rows = [(int(q), int(ids[c]), float(s[j, c])) for j, q in enumerate(qids) for c in np.flatnonzero(np.isin(ids, wanted.get(int(q), []))) if s[j, c] > -np.inf]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 3, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["qid", "id", "score"])
+
+        few = self.rows.join(F.broadcast(named.select("id").distinct()), "id", "left_semi").select(*self.rows.columns)
+        found = few.mapInArrow(own, "qid long, id long, score double").collect()
+        held = {q: np.sort(np.array([(-r[2], r[1]) for r in found if r[0] == q], [("s", "f8"), ("id", "i8")])) for q in {r[0] for r in found}}
+
+        def count(batches):
+            qids, model = sent.value
+            better = {q: np.zeros(len(h) + 1, np.int64) for q, h in held.items()}
+            for batch in batches:
+                ids, s = batch.column(0).to_numpy(zero_copy_only=False), score(model, batch)
+                for j, q in enumerate(qids.tolist()):
+                    if q in held:
+                        hit = s[j] > -np.inf
+                        one = np.empty(int(hit.sum()), held[q].dtype)
+                        one["s"], one["id"] = -s[j][hit], ids[hit]
+                        # The first of those held that a row is better than, and so than all after it.
+                        better[q] += np.bincount(np.searchsorted(held[q], one, side="right"), minlength=len(held[q]) + 1)
+            rows = [(q, int(i), int(n)) for q, b in better.items() for i, n in zip(held[q]["id"], np.cumsum(b)[:-1], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True)) or [[]] * 3], ["qid", "id", "n"])
+
+        counted = self.rows.mapInArrow(count, "qid long, id long, n long")
+        return counted.groupBy("qid", "id").agg((F.sum("n") + 1).cast("int").alias("rank"))
+
+
+class Asked:
+    """A bounded set of queries as term lists: their ids, the terms that occur, and which query has which (terms x queries)."""
+
+    def __init__(self, queries: DataFrame, most: int = 5000):
+        """queries (qid, t: array of different terms)."""
+        rows = queries.select(F.col("qid").cast("long"), "t").limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"more than {most} queries; send them in blocks")
+        self.qids = np.array([r[0] for r in rows], np.int64)
+        self.terms = sorted({w for r in rows for w in r[1]})
+        place = {w: k for k, w in enumerate(self.terms)}
+        self.has = np.zeros((len(self.terms), len(rows)))
+        for j, r in enumerate(rows):
+            self.has[[place[w] for w in r[1]], j] = 1
+        self.sizes = np.array([len(r[1]) for r in rows], np.int64)
+
+    def known(self, lists: pa.ListArray) -> pa.ListArray:
+        """The numbers of the terms among the strings of each list, repeats included."""
+        at = pc.index_in(lists.flatten(), value_set=pa.array(self.terms, pa.string()))
+        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        n = np.bincount(row[pc.is_valid(at).to_numpy(zero_copy_only=False)], minlength=len(lists))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), at.drop_null())
+
+    def counts(self, lists: pa.ListArray) -> np.ndarray:
+        """rows x terms: how often each term's number is in each list."""
+        n, m = len(lists), len(self.terms)
+        row = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+        return np.bincount(row * m + lists.flatten().to_numpy(), minlength=n * m).reshape(n, m).astype(float)
+
+
+def bm25_scorer(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> Scorer:
+    """Texts are read once: what is scored, and counted for the terms' weights, is a written table of the queries' terms in them."""
+    asked = Asked(queries.select("qid", F.array_distinct(tokens(F.col("text"))).alias("t")))
+    sent = docs.sparkSession.sparkContext.broadcast(asked)
+
+    def narrow(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), sent.value.known(batch.column(1)), batch.column(2)], ["id", "t", "dl"])
+
+    sized = docs.select(F.col("id").cast("long").alias("id"), tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
+    sized = written(sized.mapInArrow(narrow, "id long, t array<int>, dl int"), "query-terms")
+    total = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
+    df = {r[0]: r[1] for r in sized.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").count().collect()}
+    n, mean = total["n"], total["mean"] or 1.0
+    idf = np.array([np.log(1 + (n - df.get(k, 0) + 0.5) / (df.get(k, 0) + 0.5)) for k in range(len(asked.terms))])
+
+    def score(model, batch):
+        asked, idf = model
+        tf = asked.counts(batch.column(1))
+        dl = batch.column(2).to_numpy(zero_copy_only=False)[:, None]
+        s = ((idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean))) @ asked.has).round(DIGITS).T
+        return np.where(s > 0, s, -np.inf)
+
+    return Scorer(sized, asked.qids, (asked, idf), score)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """qid, id, score, rank from docs (id, text) and queries (qid, text); documents without a query term aren't hits.
 
-    Only query terms are exploded past the scan: document lengths need no shuffle.
+    Rows of one id are documents of their own. The queries are a stated set that is sent to the executors; no pair of
+    a document and a query leaves the task that scored it unless it may be a hit.
     """
-    terms = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    sized = docs.select("id", tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
-    whole = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).select("n", F.when(F.col("mean") == 0, 1.0).otherwise(F.col("mean")).alias("mean"))
-    words = sized.select("id", "dl", F.explode("t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    tf = words.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    idf = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(whole)).select(
-        "term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
-    )
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean")))
-    scored = tf.join(idf, "term").select("id", "term", weight.alias("w")).join(terms, "term").groupBy("qid", "id").agg(F.round(F.sum("w"), DIGITS).alias("score"))
-    return top(scored.where("score > 0"), "qid", k, F.desc("score"), "id")
+    return bm25_scorer(docs, queries, k1, b).best(k)
 
 
 def jaccard_top(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """qid, id, score, rank by token-set similarity, through an inverted index; only pairs that share a token."""
-    d = docs.select("id", F.array_distinct(tokens(F.col("text"))).alias("t")).withColumn("nd", F.size("t"))
-    q = queries.select("qid", F.array_distinct(tokens(F.col("text"))).alias("t")).withColumn("nq", F.size("t"))
-    shared = d.select("id", "nd", F.explode("t").alias("w")).join(q.select("qid", "nq", F.explode("t").alias("w")), "w")
-    both = shared.groupBy("qid", "id", "nd", "nq").agg(F.count("*").alias("c"))
-    scored = both.select("qid", "id", F.round(F.col("c") / (F.col("nd") + F.col("nq") - F.col("c")), DIGITS).alias("score"))
-    return top(scored, "qid", k, F.desc("score"), "id")
+    """qid, id, score, rank by token-set similarity; only pairs that share a token. Scored as bm25 does, in one pass."""
+    asked = Asked(queries.select("qid", F.array_distinct(tokens(F.col("text"))).alias("t")))
 
+    def score(asked, batch):
+        shared = (np.minimum(asked.counts(asked.known(batch.column(1))), 1) @ asked.has).T
+        n = np.diff(batch.column(1).offsets.to_numpy())
+        return np.where(shared > 0, (shared / np.maximum(1, n + asked.sizes[:, None] - shared)).round(DIGITS), -np.inf)
 
-def dense_top(vectors: DataFrame, queries: DataFrame, k: int = 10, most_queries: int = 5000) -> DataFrame:
-    """qid, id, score, rank by cosine from vectors (id, vec) and queries (qid, vec), a stated set of at most ``most_queries``.
+    return Scorer(docs.select("id", F.array_distinct(tokens(F.col("text"))).alias("t")), asked.qids, asked, score).best(k)
 
-    The queries are sent to the executors; each batch of vectors is one matrix product and keeps its k best.
-    """
+
+def dense_scorer(vectors: DataFrame, queries: DataFrame, most_queries: int = 5000) -> Scorer:
     rows = [(r[0], r[1]) for r in queries.select("qid", F.col("vec").cast("array<double>")).limit(most_queries + 1).collect()]
     if len(rows) > most_queries:
         raise ValueError(f"more than {most_queries} queries; send them in parts")
     rows = [r for r in rows if r[1]]
-    sent = vectors.sparkSession.sparkContext.broadcast(rows)
 
-    def best(batches):
-        ids = np.array([r[0] for r in sent.value], np.int64)
-        q = np.array([r[1] for r in sent.value], np.float64)
-        scale = np.linalg.norm(q, axis=1) if len(q) else np.zeros(0)
-        for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            if not len(own) or not len(ids):
-                continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
-            norms = np.linalg.norm(x, axis=1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                s = np.nan_to_num((q @ x.T) / np.outer(scale, norms), nan=0.0, posinf=0.0, neginf=0.0).round(DIGITS)
-            out = []
-            for j in range(len(ids)):
-                at = np.lexsort((own, -s[j]))[:k]
-                out.append((np.full(len(at), ids[j]), own[at], s[j][at]))
-            cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2])], ["qid", "id", "score"])
-
-    near = vectors.where("vec is not null").select("id", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(best, "qid long, id long, score double")
-    return top(near, "qid", k, F.desc("score"), "id")
+    def score(q, batch):
+        x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            s = (q @ x.T) / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1))
+        return np.nan_to_num(s, nan=0.0, posinf=0.0, neginf=0.0).round(DIGITS)
+
+    vecs = vectors.where("vec is not null").select("id", F.col("vec").cast("array<double>").alias("vec"))
+    return Scorer(vecs, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64), score)
+
+
+def dense_top(vectors: DataFrame, queries: DataFrame, k: int = 10, most_queries: int = 5000) -> DataFrame:
+    """qid, id, score, rank by cosine from vectors (id, vec) and queries (qid, vec), a stated set of at most ``most_queries``.
+
+    The queries are sent to the executors; each batch of vectors is one matrix product, and a task keeps its k best.
+    """
+    return dense_scorer(vectors, queries, most_queries).best(k)
 
 
 def in_blocks(queries: DataFrame, search, block: int = 2500) -> DataFrame:
@@ -156,12 +287,20 @@ def mmr(candidates: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
 def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5, weight: float = 0.7) -> DataFrame:
     """qid, id, score, rank: dense and sparse lists fused, the first max(4k, k) with vectors reranked, the others after them.
 
-    docs (id, text), vectors (id, vec), queries (qid, text, vec).
+    docs (id, text), vectors (id, vec), queries (qid, text, vec). Both lists are whole: every vector has a place in the
+    one, every document with a query term in the other. Only those are fused that may be among the first 4k: what is
+    beyond place 60 + 8k of both lists has a score below 2 / (120 + 8k), less than the place 4k of either alone gives.
+    Their places in the other list are then counted exactly.
     """
-    depth = 10 * k
-    dense = dense_top(vectors, queries, depth).select("qid", F.lit(0).alias("list_id"), F.lit(1.0).alias("weight"), "id", "rank")
-    sparse = bm25(docs, queries, depth).select("qid", F.lit(1).alias("list_id"), F.lit(1.0).alias("weight"), "id", "rank")
-    fused = rrf(dense.union(sparse)).withColumnRenamed("rank", "ord")
+    depth, lists, named = 60 + 8 * k, None, None
+    scorers = dense_scorer(vectors, queries), bm25_scorer(docs, queries)
+    found = [written(x.best(depth).select("qid", "id", "rank"), "list") for x in scorers]
+    named = found[0].select("qid", "id").union(found[1].select("qid", "id")).distinct()
+    for number, (x, known) in enumerate(zip(scorers, found, strict=True)):
+        late = written(named.join(known, ["qid", "id"], "left_anti"), "late")
+        each = known.union(x.places(late)).select("qid", F.lit(number).alias("list_id"), F.lit(1.0).alias("weight"), "id", "rank")
+        lists = each if lists is None else lists.union(each)
+    fused = written(rrf(lists).withColumnRenamed("rank", "ord"), "fused")
     named = fused.join(vectors, "id", "left").join(queries.select("qid", F.col("vec").alias("qv")), "qid")
     window = named.where("vec is not null").withColumn("w", F.row_number().over(Window.partitionBy("qid").orderBy("ord"))).where(F.col("w") <= 4 * k)
     chosen = mmr(window.select("qid", "ord", "id", F.round(cosine(F.col("vec"), F.col("qv")), DIGITS).alias("rel"), "vec"), k, weight)

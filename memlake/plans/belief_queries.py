@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import canonical_key, flagged, sanitized
 from ..operators import belief, caches
+from ..operators.ordering import running
 from .catalogue import query, table
 
 _CLAIMS = """claims AS (SELECT CAST(user_id AS VARCHAR) || ':' || event_type AS subject, event_id AS ord, CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR) AS content,
@@ -50,17 +51,16 @@ def _(s, d):
     return belief.commit(claims(s, d)).withColumn("importance", F.round("importance", 9))
 
 
-@query("belief_version", f"WITH {_LAG} SELECT ord, verdict, sum(CASE WHEN verdict IN ('augment', 'supersede') THEN 1 ELSE 0 END) OVER (ORDER BY ord) AS version FROM v WHERE ord < 2000")
+@query("belief_version", f"WITH {_LAG} SELECT ord, verdict, sum(CASE WHEN verdict IN ('augment', 'supersede') THEN 1 ELSE 0 END) OVER (ORDER BY ord) AS version FROM v")
 def _(s, d):
-    # One counter for the whole store: the log of a stated stretch in one order.
-    v = belief.commit_supported(claims(s, d)).where("ord < 2000")
-    bumps = F.when(F.col("verdict").isin("augment", "supersede"), 1).otherwise(0)
-    return v.select("ord", "verdict", F.sum(bumps).over(Window.orderBy("ord")).cast("long").alias("version"))
+    v = belief.commit_supported(claims(s, d))
+    bumps = F.when(F.col("verdict").isin("augment", "supersede"), 1).otherwise(0).cast("long")
+    return running(v.select("ord", "verdict", bumps.alias("bump")), ["ord"], "bump", "version").select("ord", "verdict", "version")
 
 
-@query("evidence_presence", "WITH l AS (SELECT user_id, list(DISTINCT event_type) AS s FROM events WHERE event_id < 2000 GROUP BY user_id) SELECT user_id, list_contains(s, 'view') AND list_contains(s, 'click') AND NOT list_contains(s, 'error') AS supports FROM l")
+@query("evidence_presence", "WITH l AS (SELECT user_id, list(DISTINCT event_type) AS s FROM events GROUP BY user_id) SELECT user_id, list_contains(s, 'view') AND list_contains(s, 'click') AND NOT list_contains(s, 'error') AS supports FROM l")
 def _(s, d):
-    listing = table(s, d, "events").where("event_id < 2000").groupBy("user_id").agg(F.collect_set("event_type").alias("l"))
+    listing = table(s, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("l"))
     return listing.select("user_id", belief.supports(F.array(F.lit("view"), F.lit("click")), F.array(F.lit("error")), F.col("l")).alias("supports"))
 
 
@@ -75,9 +75,9 @@ def _(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", sanitized(F.concat("text", F.lit("\x01"))).alias("text"))
 
 
-@query("recall_context", "SELECT conv_id, 'Known facts, least to most recent:' || chr(10) || string_agg('[' || CAST(turn AS VARCHAR) || '] (' || role || ') ' || substr(text, 1, 40), chr(10) ORDER BY turn) AS block FROM conversations GROUP BY conv_id")
+@query("recall_context", "SELECT conv_id, 'Known facts, least to most recent:' || chr(10) || string_agg('[' || CAST(turn AS VARCHAR) || '] (' || role || ') ' || text, chr(10) ORDER BY turn) AS block FROM conversations GROUP BY conv_id")
 def _(s, d):
-    line = F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("] ("), "role", F.lit(") "), F.substring("text", 1, 40))
+    line = F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("] ("), "role", F.lit(") "), "text")
     rows = F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))
     block = F.concat(F.lit("Known facts, least to most recent:\n"), F.array_join(F.transform(rows, lambda x: x["line"]), "\n"))
     return table(s, d, "conversations").groupBy("conv_id").agg(block.alias("block"))
@@ -142,12 +142,12 @@ def _(s, d):
 
 
 def requests(s, d, key=None):
-    key = F.substring("text", 1, 2) if key is None else key
+    key = F.col("text") if key is None else key
     c = table(s, d, "conversations").where("role = 'user'")
     return c.select((F.col("conv_id") % 4).cast("string").alias("cache"), (F.col("conv_id") * 100 + F.col("turn")).alias("ord"), key.alias("key"))
 
 
-_REQ = "r AS (SELECT CAST(conv_id % 4 AS VARCHAR) AS cache, conv_id * 100 + turn AS ord, substr(text, 1, 2) AS key FROM conversations WHERE role = 'user')"
+_REQ = "r AS (SELECT CAST(conv_id % 4 AS VARCHAR) AS cache, conv_id * 100 + turn AS ord, text AS key FROM conversations WHERE role = 'user')"
 
 
 @query("exact_cache_hits", f"WITH {_REQ} SELECT cache, ord, key, row_number() OVER (PARTITION BY cache, key ORDER BY ord) > 1 AS hit FROM r")
@@ -190,9 +190,9 @@ def _(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", F.to_json(F.array("role", F.col("turn").cast("string"))).alias("cache_key"))
 
 
-@query("semantic_key", "SELECT conv_id, string_agg(role || ':' || substr(text, 1, 20), chr(10) ORDER BY turn) AS semantic_key FROM conversations GROUP BY conv_id")
+@query("semantic_key", "SELECT conv_id, string_agg(role || ':' || text, chr(10) ORDER BY turn) AS semantic_key FROM conversations GROUP BY conv_id")
 def _(s, d):
-    rows = F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(":", "role", F.substring("text", 1, 20)).alias("k"))))
+    rows = F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(":", "role", "text").alias("k"))))
     return table(s, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda x: x["k"]), "\n").alias("semantic_key"))
 
 
@@ -253,9 +253,9 @@ def _(s, d):
     return ok.groupBy("conv_id").agg(F.max_by("turn", F.struct(F.length("text"), -F.col("turn"))).alias("turn"))
 
 
-@query("sse_parse", "SELECT conv_id, turn, text AS delta FROM conversations WHERE turn < 2")
+@query("sse_parse", "SELECT conv_id, turn, text AS delta FROM conversations")
 def _(s, d):
-    c = table(s, d, "conversations").where("turn < 2")
+    c = table(s, d, "conversations")
     stream = F.concat(F.lit(": ping\ndata: "), F.to_json(F.struct(F.col("text").alias("delta"))), F.lit("\n\ndata: {bad\n\ndata: [DONE]\n"))
     lines = c.select("conv_id", "turn", F.explode(F.split(stream, "\n")).alias("line")).where(F.startswith("line", F.lit("data:")))
     return lines.select("conv_id", "turn", F.get_json_object(F.trim(F.substring("line", 6, 1 << 30)), "$.delta").alias("delta")).where("delta is not null")

@@ -50,9 +50,9 @@ def _(s, d):
     return each.groupBy("seq_id").agg(F.round(F.exp(F.avg("ce")), 9).alias("perplexity"), F.count("*").alias("n")).where("n >= 2").drop("n")
 
 
-@query("nucleus_set", "WITH x AS (SELECT vec_id, i, exp(embedding[i + 1]::double * 20) AS e FROM embeddings, range(64) r(i) WHERE vec_id < 100), p AS (SELECT vec_id, i, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM x), c AS (SELECT vec_id, sum(p) OVER (PARTITION BY vec_id ORDER BY p DESC, i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - p AS before FROM p) SELECT vec_id, count(*) AS kept FROM c WHERE round(before, 9) < 0.9 GROUP BY vec_id")
+@query("nucleus_set", "WITH x AS (SELECT vec_id, i, exp(embedding[i + 1]::double * 20) AS e FROM embeddings, range(64) r(i)), p AS (SELECT vec_id, i, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM x), c AS (SELECT vec_id, sum(p) OVER (PARTITION BY vec_id ORDER BY p DESC, i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - p AS before FROM p) SELECT vec_id, count(*) AS kept FROM c WHERE round(before, 9) < 0.9 GROUP BY vec_id")
 def _(s, d):
-    x = emb(s, d).where("vec_id < 100").select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", "i", F.exp(F.col("x").cast("double") * 20).alias("e"))
+    x = emb(s, d).select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", "i", F.exp(F.col("x").cast("double") * 20).alias("e"))
     by = Window.partitionBy("vec_id")
     p = x.withColumn("p", F.col("e") / F.sum("e").over(by))
     c = p.withColumn("before", F.sum("p").over(by.orderBy(F.desc("p"), "i").rowsBetween(Window.unboundedPreceding, 0)) - F.col("p"))
@@ -126,14 +126,14 @@ def _(s, d):
     return emb(s, d).select("vec_id", F.round(F.aggregate(clamped, F.lit(0.0), lambda a, x: a + x), 9).alias("total"))
 
 
-_GATE = "r AS (SELECT label AS expert, i, avg(embedding[i + 1]::double) AS w FROM embeddings, range(64) q(i) GROUP BY ALL), l AS (SELECT vec_id, expert, round(sum(embedding[i + 1]::double * w), 9) AS logit FROM embeddings JOIN r ON true WHERE vec_id < 200 GROUP BY vec_id, expert), t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, expert) AS rn FROM l QUALIFY rn <= 2), g AS (SELECT vec_id, expert, exp(logit) / sum(exp(logit)) OVER (PARTITION BY vec_id) AS gate FROM t)"
+_GATE = "r AS (SELECT label AS expert, i, avg(embedding[i + 1]::double) AS w FROM embeddings, range(64) q(i) GROUP BY ALL), l AS (SELECT vec_id, expert, round(sum(embedding[i + 1]::double * w), 9) AS logit FROM embeddings JOIN r ON true GROUP BY vec_id, expert), t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, expert) AS rn FROM l QUALIFY rn <= 2), g AS (SELECT vec_id, expert, exp(logit) / sum(exp(logit)) OVER (PARTITION BY vec_id) AS gate FROM t)"
 
 
 def gates(s, d):
     x = emb(s, d).select("vec_id", "label", F.posexplode("embedding").alias("i", "x"))
     routers = x.groupBy(F.col("label").alias("expert"), "i").agg(F.avg(F.col("x").cast("double")).alias("w"))
     # Rows of the router matrix (experts by dimensions) meet tokens on the dimension: a matrix product as a join.
-    l = x.where("vec_id < 200").join(F.broadcast(routers), "i").groupBy("vec_id", "expert").agg(F.round(F.sum(F.col("x").cast("double") * F.col("w")), 9).alias("logit"))
+    l = x.join(F.broadcast(routers), "i").groupBy("vec_id", "expert").agg(F.round(F.sum(F.col("x").cast("double") * F.col("w")), 9).alias("logit"))
     t = l.withColumn("rn", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("logit"), "expert"))).where("rn <= 2")
     return t.select("vec_id", "expert", (F.exp("logit") / F.sum(F.exp("logit")).over(Window.partitionBy("vec_id"))).alias("gate"))
 
@@ -160,21 +160,18 @@ def _(s, d):
     return table(s, d, "events").groupBy("user_id").agg(F.round(F.aggregate(ordered, F.lit(0.0), lambda h, x: 0.9 * h + 0.1 * x["value"]), 6).alias("h"))
 
 
-@query("linear_forward", "SELECT e.vec_id, w.label AS output, round(list_dot_product(CAST(e.embedding AS DOUBLE[]), w.v), 8) AS y FROM embeddings e CROSS JOIN (SELECT label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1) w WHERE e.vec_id < 100")
+@query("linear_forward", "SELECT e.vec_id, w.label AS output, round(list_dot_product(CAST(e.embedding AS DOUBLE[]), w.v), 8) AS y FROM embeddings e CROSS JOIN (SELECT label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1) w")
 def _(s, d):
     w = emb(s, d).groupBy("label").agg(F.min_by("embedding", "vec_id").alias("v"))
-    return emb(s, d).where("vec_id < 100").crossJoin(F.broadcast(w.withColumnRenamed("label", "output"))).select("vec_id", "output", F.round(dot(F.col("embedding"), F.col("v")), 8).alias("y"))
+    return emb(s, d).crossJoin(F.broadcast(w.withColumnRenamed("label", "output"))).select("vec_id", "output", F.round(dot(F.col("embedding"), F.col("v")), 8).alias("y"))
 
 
 _A = "list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(k.embedding AS DOUBLE[]))"
 
 
-@query("attention_causal", f"WITH a AS (SELECT q.vec_id AS i, k.vec_id AS j, exp({_A}) AS e, k.embedding[1]::double AS v FROM embeddings q JOIN embeddings k ON k.vec_id <= q.vec_id WHERE q.vec_id < 64 AND k.vec_id < 64) SELECT i, round(sum(e * v) / sum(e), 9) AS y FROM a GROUP BY i")
+@query("attention_causal", f"WITH a AS (SELECT q.vec_id AS i, k.vec_id AS j, exp({_A}) AS e, k.embedding[1]::double AS v FROM embeddings q JOIN embeddings k ON k.vec_id <= q.vec_id) SELECT i, round(sum(e * v) / sum(e), 9) AS y FROM a GROUP BY i")
 def _(s, d):
-    few = emb(s, d).where("vec_id < 64")
-    q, k = few.select(F.col("vec_id").alias("i"), F.col("embedding").alias("q")), few.select(F.col("vec_id").alias("j"), F.col("embedding").alias("k"))
-    e = q.join(k, F.col("j") <= F.col("i")).select("i", F.exp(dot(F.col("q"), F.col("k"))).alias("e"), F.get("k", F.lit(0)).cast("double").alias("v"))
-    return e.groupBy("i").agg(F.round(F.sum(F.col("e") * F.col("v")) / F.sum("e"), 9).alias("y"))
+    return numeric.causal_attention(emb(s, d).select(F.col("vec_id").alias("i"), F.col("embedding").alias("x")), 1)
 
 
 @query("adamw_step", "SELECT vec_id, round(p - 0.001::double * (g / (abs(g) + 0.00000001::double) + 0.01::double * p), 12) AS p FROM (SELECT vec_id, embedding[1]::double AS p, embedding[2]::double AS g FROM embeddings)")
@@ -377,9 +374,9 @@ def _(s, d):
     return m.select(F.col("label").alias("step_id"), F.when(F.col("n") < 2, "skip").when(F.col("loss") < 0.05, "pass").otherwise("fail").alias("status"))
 
 
-@query("workflow_validate", "WITH w AS (SELECT event_id AS ord, event_type AS type, 's' || CAST(user_id % 40 AS VARCHAR) AS step_id FROM events WHERE event_id < 60) SELECT ord, step_id, CASE WHEN count(*) OVER (PARTITION BY step_id ORDER BY ord) > 1 THEN 'duplicate' WHEN type = 'error' THEN 'unknown' ELSE 'ok' END AS problem FROM w")
+@query("workflow_validate", "WITH w AS (SELECT event_id AS ord, event_type AS type, 's' || CAST(user_id % 40 AS VARCHAR) AS step_id FROM events) SELECT ord, step_id, CASE WHEN count(*) OVER (PARTITION BY step_id ORDER BY ord) > 1 THEN 'duplicate' WHEN type = 'error' THEN 'unknown' ELSE 'ok' END AS problem FROM w")
 def _(s, d):
-    w = table(s, d, "events").where("event_id < 60").select(F.col("event_id").alias("ord"), F.col("event_type").alias("type"), F.concat(F.lit("s"), (F.col("user_id") % 40).cast("string")).alias("step_id"))
+    w = table(s, d, "events").select(F.col("event_id").alias("ord"), F.col("event_type").alias("type"), F.concat(F.lit("s"), (F.col("user_id") % 40).cast("string")).alias("step_id"))
     earlier = F.row_number().over(Window.partitionBy("step_id").orderBy("ord"))
     return w.select("ord", "step_id", F.when(earlier > 1, "duplicate").when(F.col("type") == "error", "unknown").otherwise("ok").alias("problem"))
 

@@ -77,11 +77,12 @@ def _(s, d):
 
 @query(
     "set_similarity_parts",
-    f"WITH x AS (SELECT doc_id, {_HT.format('text')} AS t FROM documents WHERE doc_id < 100), y AS (SELECT item_id, {_HT.format('text')} AS t FROM benchmark WHERE item_id < 10) SELECT doc_id, item_id, len(list_intersect(x.t, y.t)) AS shared, round(CASE WHEN len(x.t) + len(y.t) = 0 THEN 1 ELSE len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) END, 9) AS similarity FROM x CROSS JOIN y",
+    f"WITH x AS (SELECT doc_id, {_HT.format('text')} AS t FROM documents), y AS (SELECT item_id, {_HT.format('text')} AS t FROM benchmark WHERE item_id % 50 = 0) SELECT doc_id, item_id, len(list_intersect(x.t, y.t)) AS shared, round(CASE WHEN len(x.t) + len(y.t) = 0 THEN 1 ELSE len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) END, 9) AS similarity FROM x CROSS JOIN y",
 )
 def _(s, d):
-    x = table(s, d, "documents").where("doc_id < 100").select("doc_id", F.array_distinct(recall_tokens(F.col("text"))).alias("a"))
-    y = table(s, d, "benchmark").where("item_id < 10").select("item_id", F.array_distinct(recall_tokens(F.col("text"))).alias("b"))
+    """Every item whose id is divisible by 50 against all documents."""
+    x = table(s, d, "documents").select("doc_id", F.array_distinct(recall_tokens(F.col("text"))).alias("a"))
+    y = table(s, d, "benchmark").where("item_id % 50 = 0").select("item_id", F.array_distinct(recall_tokens(F.col("text"))).alias("b"))
     both = x.crossJoin(F.broadcast(y))
     return both.select("doc_id", "item_id", F.size(F.array_intersect("a", "b")).cast("long").alias("shared"), F.round(jaccard(F.col("a"), F.col("b")), 9).alias("similarity"))
 
@@ -95,51 +96,75 @@ def _(s, d):
     return rank.dense_top(v, v.where("id = 7").select(F.col("id").alias("qid"), "vec"), 10).select("id", "score", "rank")
 
 
-@query("dense_topk_batch", f"SELECT q.vec_id AS qid, e.vec_id AS id, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rank FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id < 100) q QUALIFY rank <= 10")
+@query("dense_topk_batch", f"SELECT q.vec_id AS qid, e.vec_id AS id, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rank FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q QUALIFY rank <= 10")
 def _(s, d):
     v = vectors(s, d)
-    return rank.dense_top(v, v.where("id < 100").select(F.col("id").alias("qid"), "vec"), 10)
+    return rank.dense_top(v, v.where("id % 50 = 0").select(F.col("id").alias("qid"), "vec"), 10)
 
 
 @query(
     "similar_with_fallback",
-    f"""WITH {_DT}, {_QT}, a AS (SELECT id, list_distinct(t) AS t FROM d WHERE id < 200), b AS (SELECT qid, list_distinct(t) AS t FROM q WHERE qid < 5), n AS (SELECT count(*) AS missing FROM d LEFT JOIN embeddings ON vec_id = id WHERE id < 200 AND embedding IS NULL),
+    f"""WITH {_DT}, {_QT}, a AS (SELECT id, list_distinct(t) AS t FROM d), b AS (SELECT qid, list_distinct(t) AS t FROM q WHERE qid % 50 = 0), n AS (SELECT count(*) AS missing FROM d LEFT JOIN embeddings ON vec_id = id WHERE embedding IS NULL),
 c AS (SELECT qid, a.id, CASE WHEN missing = 0 THEN {_COS.replace('q.embedding', 'r.embedding')} ELSE round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 9) END AS score FROM a CROSS JOIN b CROSS JOIN n LEFT JOIN embeddings e ON e.vec_id = a.id LEFT JOIN embeddings r ON r.vec_id = qid)
 SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM c QUALIFY rank <= 5""",
 )
 def _(s, d):
     """Cosine if every candidate has a vector, else token sets; the choice is made once, from a count."""
-    candidates = docs(s, d).where("id < 200")
-    v, ask = vectors(s, d), asks(s, d).where("qid < 5")
+    candidates = docs(s, d)
+    v, ask = vectors(s, d), asks(s, d).where("qid % 50 = 0")
     if candidates.join(v, "id", "left_anti").isEmpty():
         return rank.dense_top(v.join(candidates.select("id"), "id", "left_semi"), ask.join(v.withColumnRenamed("id", "qid"), "qid").select("qid", "vec"), 5)
     return rank.jaccard_top(candidates, ask, 5)
 
 
-_DENSE = f"dn AS (SELECT q.vec_id AS qid, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rank FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id < 20) q QUALIFY rank <= 50)"
-_RRF = f"""{_BM25}, {_DENSE}, sp AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM bm WHERE qid < 20 AND score > 0 QUALIFY rank <= 50),
+_ASK = "(SELECT e.* FROM embeddings e JOIN benchmark ON item_id = vec_id)"
+_DENSE = f"dn AS (SELECT q.vec_id AS qid, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rank FROM embeddings e CROSS JOIN {_ASK} q)"
+#: Both lists are whole: every vector, and every document with a query term, has a place.
+_RRF = f"""{_BM25}, {_DENSE}, sp AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM bm WHERE qid IN (SELECT qid FROM dn) AND score > 0),
 l AS (SELECT qid, 0 AS list_id, id, rank FROM dn UNION ALL SELECT qid, 1, id, rank FROM sp),
-fu AS (SELECT qid, id, round(sum(1.0::double / (60 + rank)), 12) AS score, min(list_id * 1000 + rank) AS f FROM l GROUP BY qid, id),
+fu AS (SELECT qid, id, round(sum(1.0::double / (60 + rank)), 12) AS score, min(list_id * 1000000000 + rank) AS f FROM l GROUP BY qid, id),
 fused AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, f) AS rank FROM fu)"""
 
 
-def _queries(s, d):
-    return _all_queries(s, d).where("qid < 20")
+def _mmr_sql(k: int, weight: str) -> str:
+    """CTEs pk1 to pk{k} from c (qid, ord, id, rel) and sim (qid, a, b, s): each adds the candidate of most relevance less redundancy."""
+    steps = ["pk0 AS (SELECT qid, ord, 0 AS rank FROM c WHERE false)"]
+    for n in range(1, k + 1):
+        best = f"""SELECT c.qid, c.ord, round({weight} * c.rel - (1 - {weight}) * greatest(0, coalesce(max(s.s), 0)), 9) AS v FROM c LEFT JOIN pk{n - 1} p ON p.qid = c.qid LEFT JOIN sim s ON s.qid = c.qid AND s.a = c.ord AND s.b = p.ord
+WHERE NOT EXISTS (SELECT 1 FROM pk{n - 1} x WHERE x.qid = c.qid AND x.ord = c.ord) GROUP BY c.qid, c.ord, c.rel"""
+        steps.append(f"pk{n} AS MATERIALIZED (SELECT * FROM pk{n - 1} UNION ALL SELECT qid, ord, {n} FROM ({best}) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY v DESC, ord) = 1)")
+    return ", ".join(steps)
+
+
+_SIM = "sim AS (SELECT x.qid, x.ord AS a, y.ord AS b, list_cosine_similarity(x.v, y.v) AS s FROM c x JOIN c y ON x.qid = y.qid AND x.ord <> y.ord)"
 
 
 def _all_queries(s, d):
     return asks(s, d).join(vectors(s, d).select(F.col("id").alias("qid"), "vec"), "qid")
 
 
-@query("rrf_fuse", f"WITH {_RRF} SELECT * FROM fused")
+def _lists(s, d, depth):
+    """Both lists of every query down to ``depth``, one after the other."""
+    q = _all_queries(s, d)
+    dense = rank.in_blocks(q, lambda some: rank.dense_top(vectors(s, d), some, depth)).select("qid", F.lit(0).alias("list_id"), F.lit(1.0).alias("weight"), "id", "rank")
+    sparse = rank.in_blocks(q, lambda some: rank.bm25(docs(s, d), some, depth)).select("qid", F.lit(1).alias("list_id"), F.lit(1.0).alias("weight"), "id", "rank")
+    return dense.union(sparse)
+
+
+_TOP50 = _RRF.replace("e.vec_id) AS rank FROM embeddings e CROSS JOIN " + _ASK + " q)", "e.vec_id) AS rank FROM embeddings e CROSS JOIN " + _ASK + " q QUALIFY rank <= 50)").replace("AND score > 0)", "AND score > 0 QUALIFY rank <= 50)")
+
+
+@query("rrf_fuse", f"WITH {_TOP50} SELECT * FROM fused")
 def _(s, d):
-    q = _queries(s, d)
-    dense = rank.dense_top(vectors(s, d), q, 50).select("qid", F.lit(0).alias("list_id"), F.lit(1.0).alias("weight"), "id", "rank")
-    sparse = rank.bm25(docs(s, d), q, 50).select("qid", F.lit(1).alias("list_id"), F.lit(1.0).alias("weight"), "id", "rank")
-    return rank.rrf(dense.union(sparse))
+    """The operator by itself, on the lists' first fifty."""
+    return rank.rrf(_lists(s, d, 50))
 
 
-@query("mmr_rerank")
+@query(
+    "mmr_rerank",
+    f"""WITH c AS MATERIALIZED (SELECT q.vec_id AS qid, e.vec_id AS id, {_COS} AS rel, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS ord, CAST(e.embedding AS DOUBLE[]) AS v FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q QUALIFY ord <= 20),
+{_SIM}, {_mmr_sql(5, '0.7::double')} SELECT qid, id, pk5.rank FROM pk5 JOIN c USING (qid, ord)""",
+)
 def mmr_rerank(s, d):
     v = vectors(s, d)
     q = v.where("id % 50 = 0").select(F.col("id").alias("qid"), "vec")
@@ -147,18 +172,20 @@ def mmr_rerank(s, d):
     return rank.mmr(near.join(v, "id").select("qid", F.col("rank").alias("ord"), "id", F.col("score").alias("rel"), "vec"), 5)
 
 
-@query("hybrid_retrieve")
+@query(
+    "hybrid_retrieve",
+    f"""WITH {_RRF}, w AS (SELECT qid, fused.rank AS ord, id, score, CAST(embedding AS DOUBLE[]) AS v FROM fused JOIN embeddings ON vec_id = id QUALIFY row_number() OVER (PARTITION BY qid ORDER BY fused.rank) <= 20),
+c AS MATERIALIZED (SELECT w.qid, ord, id, score, v, round(list_cosine_similarity(v, CAST(q.embedding AS DOUBLE[])), 9) AS rel FROM w JOIN embeddings q ON q.vec_id = w.qid), {_SIM}, {_mmr_sql(5, '0.7::double')}
+SELECT qid, id, score, pk5.rank FROM pk5 JOIN c USING (qid, ord)""",
+)
 def hybrid_retrieve(s, d):
     return rank.in_blocks(_all_queries(s, d), lambda some: rank.hybrid(docs(s, d), vectors(s, d), some, 5))
 
 
-@query("hybrid_store_recall", f"WITH {_RRF} SELECT qid, id, lang, score, rank FROM fused JOIN documents ON doc_id = id WHERE rank <= 10")
+@query("hybrid_store_recall", f"WITH {_TOP50} SELECT qid, id, lang, score, rank FROM fused JOIN documents ON doc_id = id WHERE rank <= 10")
 def _(s, d):
-    """Fusion without reranking, with the hits' rows attached again."""
-    q = _queries(s, d)
-    dense = rank.dense_top(vectors(s, d), q, 50).select("qid", F.lit(0).alias("list_id"), F.lit(1.0).alias("weight"), "id", "rank")
-    sparse = rank.bm25(docs(s, d), q, 50).select("qid", F.lit(1).alias("list_id"), F.lit(1.0).alias("weight"), "id", "rank")
-    hits = rank.rrf(dense.union(sparse)).where("rank <= 10")
+    """Fusion of the lists' first fifty without reranking, with the hits' rows attached again."""
+    hits = rank.rrf(_lists(s, d, 50)).where("rank <= 10")
     return hits.join(table(s, d, "documents").select(F.col("doc_id").alias("id"), "lang"), "id").select("qid", "id", "lang", "score", "rank")
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import store
+from ..operators.ordering import running
+from ..sources.tables import shared_path
 from .catalogue import query, table
 
 NOW = store.NOW
@@ -30,8 +30,8 @@ def _(s, d):
 
 @query("fact_live_scan", f"{WITH} SELECT key, content, ts_ms, row_number() OVER (ORDER BY ts_ms DESC, seq DESC) AS rn FROM live")
 def _(s, d):
-    # The place in the whole order needs one sorted pass, as the scan's result order does.
-    return store.live(facts(s, d)).select("key", "content", "ts_ms", F.row_number().over(Window.orderBy(F.desc("ts_ms"), F.desc("seq"))).alias("rn"))
+    live = store.live(facts(s, d)).select("key", "content", "ts_ms", "seq", F.lit(1).cast("long").alias("one"))
+    return running(live, ["-ts_ms", "-seq"], "one", "rn").select("key", "content", "ts_ms", "rn")
 
 
 @query("fact_point_lookup", f"{WITH} SELECT key, content, ts_ms FROM live WHERE key IN ('view:7', 'purchase:46', 'error:8', 'none:1')")
@@ -101,8 +101,7 @@ def _(s, d):
 
 @query("fact_snapshot_roundtrip", f"{WITH} SELECT key, content, tags[1] AS tag, importance FROM live")
 def _(s, d):
-    base = s.conf.get("spark.checkpoint.dir", None)
-    path = f"{base}/snapshot-{s.sparkContext.applicationId}" if base else "file://" + tempfile.mkdtemp(prefix="memlake-snapshot-")
+    path = shared_path(s, "snapshot")
     store.write_snapshot(store.live(facts(s, d)), path)
     return store.read_snapshot(s, path).select("key", "content", F.get("tags", F.lit(0)).alias("tag"), "importance")
 

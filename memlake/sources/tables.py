@@ -5,17 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to the folder in ``spark.checkpoint.dir`` and read back; on a local session without it, to a temporary one."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path in the folder in ``spark.checkpoint.dir``; on a local session without it, in a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="memlake-")
-    path = f"{base.rstrip('/')}/memlake-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex[:12]}"
+    return f"{base.rstrip('/')}/memlake-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written to a shared_path and read back."""
+    spark = df.sparkSession
+    path = shared_path(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
