@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import fresh, short_batches, written
 
 #: Chunks of text whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 #: Counts by task and length are broadcast up to this many rows (about 20 MB), and joined by shuffle beyond.
 BROADCAST_ROWS = 200_000
 
