@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, short_batches, written
 
-#: Chunks of text whose ids a worker remembers.
+#: Chunks of text whose ids a worker remembers since it last began anew; those of the time before are kept as well.
 REMEMBERED = 250_000
 #: Counts by task and length are broadcast up to this many rows (about 20 MB), and joined by shuffle beyond.
 BROADCAST_ROWS = 200_000
@@ -52,6 +52,7 @@ class WordIds:
         steps = {k: [x["type"] for x in (made[k] or {}).get(v, [])] for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))}
         self.by_chunk = steps == self.STEPS and made["post_processor"] is None and made["model"]["type"] == "BPE"
         self.known: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         moved = [b for b in range(256) if b not in kept]
         self.bytes_as = {b: 256 + k for k, b in enumerate(moved)}
@@ -68,7 +69,8 @@ class WordIds:
     def of_chunk(self, chunk: str) -> bytes:
         found = self.known.get(chunk)
         if found is None:
-            found = self.known[chunk] = self._ids(chunk)
+            found = self.before.get(chunk)
+            found = self.known[chunk] = self._ids(chunk) if found is None else found
         return found
 
     def __call__(self, text: str) -> bytes:
@@ -83,8 +85,7 @@ class WordIds:
             return b"".join([known[c] for c in chunks])
         except KeyError:
             if len(known) > REMEMBERED:
-                known.clear()
-                known[""] = b""
+                self.before, self.known = known, {"": b""}
             return b"".join(map(self.of_chunk, chunks))
 
 

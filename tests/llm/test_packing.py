@@ -71,6 +71,16 @@ def test_ids_of_combined_letters_are_the_librarys():
         assert np.frombuffer(own(text), "<u4").tolist() == made.ids, ascii(text)
 
 
+def test_ids_stay_the_same_when_chunks_are_forgotten(monkeypatch):
+    library, own = Tokenizer.from_file(PATH), packing.WordIds(PATH)
+    monkeypatch.setattr(packing, "REMEMBERED", 5)
+    rng = random.Random(9)
+    for _ in range(200):
+        text = " ".join(f"word{rng.randrange(40)}" + rng.choice(["", ".", ","]) for _ in range(12))
+        assert np.frombuffer(own(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(own.known) + len(own.before) < 60
+
+
 def test_other_vocabularies_go_to_the_library_whole():
     other = str(public_tokenizers.path("byte_bpe_50k.json"))
     own, text = packing.WordIds(other), "Two  words,\n and A line."
