@@ -6,9 +6,13 @@ executor of a cluster can read; a lost executor then costs the tasks it ran and
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +54,35 @@ def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+#: By operator, what makes a Python worker forget what that operator remembers in it.
+_FORGET: dict[str, Callable[[], None]] = {}
+_AT: list[str] = []
+
+
+def remembers(operator: str, forget: Callable[[], None]) -> None:
+    """States how a worker forgets what ``operator`` keeps from task to task."""
+    _FORGET[operator] = forget
+
+
+def turn_to(operator: str) -> None:
+    """Called in a Python worker with each batch: when another operator's batches came before, all they left is given back.
+
+    Workers outlive a stage, so an executor would else hold what every stage before remembered.
+    """
+    if _AT == [operator]:
+        return
+    if _AT:
+        for name, forget in _FORGET.items():
+            if name != operator:
+                forget()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+    _AT[:] = [operator]
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until no column of ``df`` is called so (whatever its case)."""
     taken = {c.lower() for c in df.columns}

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bucket, short_batches
+from .common import id_bucket, short_batches, turn_to
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -133,6 +133,7 @@ def fit(labelled: DataFrame) -> Model:
         counts: dict[str, np.ndarray] = {}
         rows: dict[str, int] = {}
         for batch in batches:
+            turn_to("langid")
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 rows[lang] = rows.get(lang, 0) + 1
@@ -172,6 +173,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> Column:
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def of(texts: pa.Array) -> pa.Array:
+        turn_to("langid")
         got = sent.value.predict(texts.to_pylist())
         return pa.StructArray.from_arrays(
             [pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], ["lang_pred", "score"]

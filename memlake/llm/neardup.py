@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, short_batches, written
+from .common import fresh, short_batches, turn_to, written
 
 #: The most fingerprints of a bucket that are compared pair by pair.
 BUCKET = 64
@@ -72,6 +72,7 @@ def simhash(text: Column, width: int = 3) -> Column:
 
     @F.arrow_udf("long")
     def of(texts: pa.Array) -> pa.Array:
+        turn_to("neardup")
         values = np.array([fingerprint(t, width) for t in texts.to_pylist()], np.uint64)
         return pa.array(values.view(np.int64), pa.int64())
 
@@ -202,6 +203,7 @@ def shingle_set(text: Column, width: int) -> Column:
 
     @F.arrow_udf("struct<key: long, shingles: array<long>>")
     def of(texts: pa.Array) -> pa.Array:
+        turn_to("neardup")
         sets = [np.unique(shingle_hashes(t, width)) for t in texts.to_pylist()]
         keys = pa.array([_identity(h) for h in sets], pa.int64())
         return pa.StructArray.from_arrays([keys, _lists(sets)], ["key", "shingles"])
@@ -271,6 +273,7 @@ def _similar(x: Column, y: Column) -> Column:
 
     @F.arrow_udf("boolean")
     def of(x: pa.Array, y: pa.Array) -> pa.Array:
+        turn_to("neardup")
         out, (p, q), (i, j) = [], (c.values.to_numpy() for c in (x, y)), (c.offsets.to_numpy() for c in (x, y))
         for k in range(len(x)):
             u, v = p[i[k] : i[k + 1]], q[j[k] : j[k + 1]]
@@ -313,6 +316,7 @@ def similar_sets(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame]
 
     @F.arrow_udf("struct<key: long, n: long, wide: boolean, prefix: array<long>>")
     def prefixed(texts: pa.Array) -> pa.Array:
+        turn_to("neardup")
         sets = [np.unique(shingle_hashes(t, width)) for t in texts.to_pylist()]
         made = [prefix(h, *sent.value) for h in sets]
         columns = [pa.array(map(_identity, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([w for _, w in made], pa.bool_())]

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, short_batches, written
+from .common import fresh, remembers, short_batches, turn_to, written
 
 #: Chunks of text whose ids a worker remembers since it last began anew; those of the time before are kept as well.
 REMEMBERED = 250_000
@@ -90,6 +90,7 @@ class WordIds:
 
 
 _LOADED: dict[str, WordIds] = {}
+remembers("packing", _LOADED.clear)
 
 
 def word_ids(path: str) -> WordIds:
@@ -108,6 +109,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     short_batches(docs.sparkSession)
 
     def run(batches):
+        turn_to("packing")
         ids_of, part = word_ids(tokenizer), TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
         end = np.array([end_id], "<u4").tobytes()
@@ -230,6 +232,7 @@ def place(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
     @F.arrow_udf("struct<sequence_id: long, offset: long>")
     def found(length: pa.Array, rank: pa.Array) -> pa.Array:
+        turn_to("packing")
         n, r = length.to_numpy(zero_copy_only=False), rank.to_numpy(zero_copy_only=False)
         row = np.empty(len(n), np.int64)
         for one in np.unique(n):

@@ -118,3 +118,12 @@ def test_nulls_repeats_empty(spark):
     assert Counter(r["length"] for r in got) == Counter({1: 2, 2048: 8, 809: 2})
     assert all(len(r["ids"]) == 4 * r["length"] for r in got)
     assert packing.op4_packing(docs.limit(0), PATH).count() == 0
+
+
+def test_what_a_worker_remembers_is_dropped_by_another_operator():
+    packing.turn_to("packing")
+    packing.word_ids(PATH)("some words")
+    packing.turn_to("packing")
+    assert PATH in packing._LOADED
+    packing.turn_to("langid")
+    assert not packing._LOADED
