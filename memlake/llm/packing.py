@@ -28,8 +28,9 @@ from .common import fresh, remembers, short_batches, turn_to, written
 
 #: Chunks of text whose ids a worker remembers since it last began anew; those of the time before are kept as well.
 REMEMBERED = 250_000
-#: Counts by task and length are broadcast up to this many rows (about 20 MB), and joined by shuffle beyond.
-BROADCAST_ROWS = 200_000
+#: The ranks at which tasks begin, by length, are broadcast up to this many bytes (2,000 tasks of 2,048 lengths), so that
+#: no piece is shuffled; beyond, they are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 class WordIds:
@@ -209,14 +210,22 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, in
     return runs, bins
 
 
+def _before(counted: DataFrame, parts: int, capacity: int) -> np.ndarray:
+    """How many pieces of a length the parts before have: a row for each part, a column for each length."""
+    got = counted.toArrow()
+    n = np.zeros((parts, capacity + 1), np.int64)
+    n[got.column("part").to_numpy(), got.column("length").to_numpy()] = got.column("n").to_numpy()
+    return np.cumsum(n, axis=0) - n
+
+
 def place(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """``pieces`` (with part, rank, length: see token_pieces) with sequence_id and offset in place of part and rank.
 
-    The driver gets one row for each length. Counts by (part, length) are joined on both columns, so no
-    length gathers in one task.
+    The driver gets one row for each length, and the counts by (part, length) if a table of them is to be broadcast.
+    Beyond that they are joined on both columns, so no length gathers in one task.
     """
-    counted = pieces.groupBy("part", "length").agg(F.max("rank").alias("top")).withColumn("n", F.col("top") + 1)
-    counted = written(counted.select("part", "length", "n"), "lengths")
+    counted = pieces.groupBy("part", "length").agg(F.max("rank").alias("top"))
+    counted = written(counted.select("part", F.col("length").cast("int").alias("length"), (F.col("top") + 1).alias("n")), "lengths")
     counts = {r[0]: r[1] for r in counted.groupBy("length").agg(F.sum("n")).collect()}
     runs, _ = plan(counts, capacity)
     runs.sort()
@@ -224,16 +233,22 @@ def place(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     for k, run in enumerate(runs):
         firsts[run[0]] = (firsts.get(run[0], (k, k))[0], k + 1)
     table = np.array(runs, np.int64).reshape(-1, 6)
-    earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = counted.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    few = counted.count() <= BROADCAST_ROWS
-    joined = pieces.join(F.broadcast(base) if few else base.hint("merge"), ["part", "length"])
+    parts = (counted.agg(F.max("part")).first()[0] or 0) + 1
+    base, before = fresh(pieces, "_base"), None
+    if 8 * parts * (capacity + 1) <= BROADCAST_BYTES:
+        before = pieces.sparkSession.sparkContext.broadcast(_before(counted, parts, capacity))
+        based = pieces.withColumn(base, F.col("part"))
+    else:
+        earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        bases = counted.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(base))
+        based = pieces.join(bases.hint("merge"), ["part", "length"])
     at = fresh(pieces, "_at")
 
     @F.arrow_udf("struct<sequence_id: long, offset: long>")
-    def found(length: pa.Array, rank: pa.Array) -> pa.Array:
+    def found(length: pa.Array, rank: pa.Array, base: pa.Array) -> pa.Array:
         turn_to("packing")
-        n, r = length.to_numpy(zero_copy_only=False), rank.to_numpy(zero_copy_only=False)
+        n, r, b = (x.to_numpy(zero_copy_only=False) for x in (length, rank, base))
+        r = r + (b if before is None else before.value[b, n])
         row = np.empty(len(n), np.int64)
         for one in np.unique(n):
             lo, hi = firsts[int(one)]
@@ -245,7 +260,7 @@ def place(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
             [pa.array(run[:, 3] + nth // run[:, 4]), pa.array(run[:, 5] + nth % run[:, 4] * n)], ["sequence_id", "offset"]
         )
 
-    placed = joined.withColumn(at, found(F.col("length"), F.col("rank") + F.col("base")))
+    placed = based.withColumn(at, found(F.col("length"), F.col("rank"), F.col(base)))
     own = [c for c in pieces.columns if c not in ("part", "rank")]
     return placed.select(*own, F.col(f"{at}.sequence_id").alias("sequence_id"), F.col(f"{at}.offset").alias("offset"))
 

@@ -276,14 +276,15 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     one surrogate, each written as it is, and different ones different ones, over the whole table, and no surrogate
     is an entity that occurs.
     """
-    found_in = F.explode(F.array_distinct(entities(F.col("text"))))
-    spelled = written(docs.select(found_in.alias("entity")).distinct().withColumn("canon", canonical(F.col("entity"))), "entities")
+    e, z = fresh(docs, "_entities"), fresh(docs, "_draws")
+    own = [c for c in docs.columns if c.lower() != "n_entities"]
+    # The pattern goes over each text once; the rows are written with what it found.
+    base = written(docs.select(*own, entities(F.col("text")).alias(e)), "found", compression="zstd")
+    spelled = base.select(F.explode(F.array_distinct(e)).alias("entity")).distinct()
+    spelled = written(spelled.withColumn("canon", canonical(F.col("entity"))), "entities")
     redrawn = draws(spelled.select("canon").distinct(), key)
     redrawn = written(spelled.join(redrawn, "canon").select("entity", "draw"), "redrawn")
     many = redrawn.count()
-    e, z = fresh(docs, "_entities"), fresh(docs, "_draws")
-    own = [c for c in docs.columns if c.lower() != "n_entities"]
-    base = docs.select(*own, entities(F.col("text")).alias(e))
     if many:
         base = _with_draws(base, redrawn, e, z, many)
     else:

@@ -120,6 +120,19 @@ def test_nulls_repeats_empty(spark):
     assert packing.op4_packing(docs.limit(0), PATH).count() == 0
 
 
+def test_places_are_the_same_by_both_ways_and_no_piece_is_shuffled(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(7)
+    pieces = packing.token_pieces(docs, PATH).drop("ids")
+    made = []
+    for most in (packing.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(packing, "BROADCAST_BYTES", most)
+        placed = packing.place(pieces)
+        plan = placed._jdf.queryExecution().sparkPlan().toString()
+        assert ("Join" in plan) == (not most)
+        made.append(sorted(map(tuple, placed.collect())))
+    assert made[0] == made[1] and len(made[0]) == pieces.count()
+
+
 def test_what_a_worker_remembers_is_dropped_by_another_operator():
     packing.turn_to("packing")
     packing.word_ids(PATH)("some words")

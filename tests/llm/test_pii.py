@@ -112,3 +112,12 @@ def test_nothing_private_stays(spark, sf):
     assert was and not any(m in was for r in rows for m in pattern.findall(r["text"]))
     before = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert all(r["text"] == before[r["doc_id"]] for r in rows if not pattern.search(before[r["doc_id"]]))
+
+
+def test_each_text_is_searched_once(spark, monkeypatch):
+    calls, searched = [], pii.entities
+    monkeypatch.setattr(pii, "entities", lambda text: calls.append(text) or searched(text))
+    docs = spark.createDataFrame([(1, "write to a.b@mail.example.com"), (2, None), (3, "nothing")], "doc_id long, text string")
+    got = pii.op8_pii(docs, KEY)
+    assert len(calls) == 1 and "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["doc_id"]: r["n_entities"] for r in got.collect()} == {1: 1, 2: 0, 3: 0}
