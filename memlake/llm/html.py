@@ -20,7 +20,9 @@ import html as entities
 import pickle
 import re
 from collections.abc import Iterator
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,8 +43,10 @@ BROADCAST_BYTES = 48 << 20
 SALT_ROWS = 4_000
 #: Elements that are nested deeper are laid side by side in the node of this depth; they stay noise below noise.
 DEPTH = 256
-#: Children of two nodes are aligned exactly if their product is no more than this, and roughly beyond (see Match).
+#: Lists of children of more pairs than this are aligned by rows of numpy (the way moves cost only, never a result).
 CELLS = 40_000
+#: Cells of such rows that are worked on or remembered at once.
+SWEEP = 1_000_000
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -183,12 +187,66 @@ def children(node: Node) -> list[Node]:
     return [c for c in node.children if c.tag != "#" or not c.text.isspace()]
 
 
+class _Side:
+    """Different shapes of one depth, to be scored against one shape all at once. ``below``: label and children's shapes by shape."""
+
+    def __init__(self, shapes: list[int], below: list[tuple[str, tuple[int, ...]]]):
+        self.shapes, self.below = np.array(shapes, np.int64), below
+        self.labels = np.array([below[s][0] for s in shapes], object)
+        self.sizes = np.array([len(below[s][1]) for s in shapes], np.int64)
+        self.known: dict[int, np.ndarray] = {}
+        self.cut: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.inner: _Side | None = None
+
+    def parts(self, label: str) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The shapes of a label that have children, in parts that are alike in the number of them, with the children's places."""
+        made = self.cut.get(label)
+        if made is None:
+            made = self.cut[label] = []
+            if self.inner is None:
+                self.inner = _Side(sorted({c for s in self.shapes.tolist() for c in self.below[s][1]}), self.below)
+            todo = np.flatnonzero((self.labels == label) & (self.sizes > 0))
+            todo = todo[np.argsort(self.sizes[todo], kind="stable")]
+            while len(todo):
+                most = 2 * int(self.sizes[todo[0]])
+                part = todo[: min(int(np.searchsorted(self.sizes[todo], most, "right")), max(1, SWEEP // most))]
+                todo = todo[len(part) :]
+                # A place beyond the last stands for no child, which scores nothing.
+                at = np.full((int(self.sizes[part[-1]]), len(part)), len(self.inner.shapes))
+                for k, n in enumerate(part.tolist()):
+                    at[: self.sizes[n], k] = np.searchsorted(self.inner.shapes, self.below[self.shapes[n]][1])
+                made.append((part, at))
+        return made
+
+    def scores(self, shape: int) -> np.ndarray:
+        """Match.score of ``shape`` and each of the side's, by the same rule."""
+        found = self.known.get(shape)
+        if found is not None:
+            return found
+        label, kids = self.below[shape]
+        found = (self.labels == label).astype(np.int64)
+        for part, at in self.parts(label) if kids else []:
+            row = np.zeros((len(at) + 1, len(part)), np.int64)
+            for kid in kids:
+                gain = np.append(self.inner.scores(kid), 0)[at]
+                row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + gain), axis=0)
+            found[part] += row[-1]
+        if len(self.known) * len(found) > SWEEP:
+            self.known.clear()
+        self.known[shape] = found
+        return found
+
+
 class Match:
     """Simple tree matching of two trees: the greatest number of paired nodes, roots paired, order kept."""
 
     def __init__(self):
         self.scores: dict[tuple[int, int], int] = {}
         self.kids: dict[int, list[Node]] = {}
+        self.shapes: dict[int, int] = {}
+        self.numbers: dict[tuple, int] = {}
+        self.below: list[tuple[str, tuple[int, ...]]] = []
+        self.long: dict[tuple[int, int], list[tuple[Node, Node]]] = {}
 
     def of(self, node: Node) -> list[Node]:
         found = self.kids.get(id(node))
@@ -197,27 +255,15 @@ class Match:
         return found
 
     def children_paired(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
-        """The pairs of children with the greatest sum of scores.
-
-        Lists of more than CELLS cells are paired from both ends as far as labels agree, and what is left
-        between, if it is still as large, first come first served.
-        """
+        """The pairs of children with the greatest sum of scores; by one rule for lists of any length."""
         left, right = self.of(a), self.of(b)
-        out: list[tuple[Node, Node]] = []
         if len(left) * len(right) > CELLS:
-            n = min(len(left), len(right))
-            k = next((k for k in range(n) if left[k].label != right[k].label), n)
-            e = next((e for e in range(n - k) if left[-1 - e].label != right[-1 - e].label), n - k)
-            out = [*zip(left[:k], right, strict=False), *zip(left[len(left) - e :], right[len(right) - e :], strict=True)]
-            left, right = left[k : len(left) - e], right[k : len(right) - e]
-            if len(left) * len(right) > 16 * CELLS:
-                rest = iter(right)
-                for x in left:
-                    y = next((y for y in rest if y.label == x.label), None)
-                    if y is None:
-                        break
-                    out.append((x, y))
-                return out
+            key = (id(a), id(b))
+            found = self.long.get(key)
+            if found is None:
+                found = self.long[key] = self.long_paired(left, right)
+            return found
+        out: list[tuple[Node, Node]] = []
         rows = [[0] * (len(right) + 1)]
         for x in left:
             above, row = rows[-1], [0]
@@ -240,6 +286,55 @@ class Match:
                 out.append((left[i], right[j]))
         return out
 
+    def shape(self, node: Node) -> int:
+        """A number for the labels of a node and of all below it, on which scores depend and nothing else."""
+        found = self.shapes.get(id(node))
+        if found is None:
+            key = (node.label, tuple([self.shape(c) for c in self.of(node)]))
+            found = self.shapes[id(node)] = self.numbers.setdefault(key, len(self.numbers))
+            if found == len(self.below):
+                self.below.append(key)
+        return found
+
+    def long_paired(self, left: list[Node], right: list[Node]) -> list[tuple[Node, Node]]:
+        """The pairs that the table of all cells would give, with one sweep for each row.
+
+        The rows at every step, the root of their number, are kept; those between are made again on the way back.
+        """
+        shapes = [self.shape(y) for y in right]
+        side = _Side(sorted(set(shapes)), self.below)
+        at = np.searchsorted(side.shapes, shapes)
+
+        def below(above: np.ndarray, x: Node) -> np.ndarray:
+            row = np.zeros(len(right) + 1, np.int64)
+            np.maximum.accumulate(np.maximum(above[1:], above[:-1] + side.scores(self.shape(x))[at]), out=row[1:])
+            return row
+
+        step = isqrt(len(left))
+        row = np.zeros(len(right) + 1, np.int64)
+        kept = [row]
+        for k, x in enumerate(left):
+            row = below(row, x)
+            if (k + 1) % step == 0:
+                kept.append(row)
+        out, i, j = [], len(left), len(right)
+        for k in range((len(left) - 1) // step, -1, -1):
+            first, rows = k * step, [kept[k]]
+            for x in left[first:i]:
+                rows.append(below(rows[-1], x))
+            while i > first and j:
+                here, above = rows[i - first], rows[i - first - 1]
+                if here[j] == above[j]:
+                    i -= 1
+                elif here[j] == here[j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    out.append((left[i], right[j]))
+            if not j:
+                break
+        return out
+
     def score(self, a: Node, b: Node) -> int:
         if a.label != b.label:
             return 0

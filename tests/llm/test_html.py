@@ -1,4 +1,5 @@
 import html as entities
+import random
 import re
 
 import pytest
@@ -90,3 +91,24 @@ def test_odd_rows_by_both_ways(spark, monkeypatch):
     monkeypatch.setattr(html, "SALT_ROWS", 2)
     assert sorted((tuple(r) for r in html.op3_main_text(pages).collect()), key=str) == got
     assert html.op3_main_text(pages.limit(0)).count() == 0
+
+
+def test_long_lists_of_children_are_paired_as_short_ones(monkeypatch):
+    rng = random.Random(8)
+
+    def page(n):
+        inner = ["said", "<b>b</b>", "<b>b</b>c", "<i>i<u>u</u></i>", "<ul><li>1<li>2</ul>", ""]
+        return html.parse("".join(f"<{t}>{rng.choice(inner)}{rng.choice(inner)}</{t}>" for t in rng.choices(["p", "div", "h2", "section"], k=n)))
+
+    for n, m in [(1, 1), (2, 9), (30, 25), (60, 61), (50, 7), (100, 99)] * 3:
+        a, b, made = page(n), page(m), []
+        for cells in (10**9, 0):
+            monkeypatch.setattr(html, "CELLS", cells)
+            made.append([(id(x), id(y)) for x, y in html.Match().pairs(a, b)])
+        assert made[0] == made[1]
+
+
+def test_no_length_of_a_list_loses_its_pairs():
+    for n in (5, 100, 900, 3000):
+        page = lambda tag: html.parse(f"<{tag}>x</{tag}>" + "<p>said <b>so</b></p>" * n + f"<{tag}>y</{tag}>")  # noqa: E731, B023
+        assert len(html.Match().pairs(page("h2"), page("h3"))) == 1 + 4 * n
