@@ -279,7 +279,7 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     e, z = fresh(docs, "_entities"), fresh(docs, "_draws")
     own = [c for c in docs.columns if c.lower() != "n_entities"]
     # The pattern goes over each text once; the rows are written with what it found.
-    base = written(docs.select(*own, entities(F.col("text")).alias(e)), "found", compression="zstd")
+    base = written(docs.select(*own, entities(F.col("text")).alias(e)), "found")
     spelled = base.select(F.explode(F.array_distinct(e)).alias("entity")).distinct()
     spelled = written(spelled.withColumn("canon", canonical(F.col("entity"))), "entities")
     redrawn = draws(spelled.select("canon").distinct(), key)
