@@ -11,6 +11,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 256
 
 _OWN: dict[str, str] = {}
+#: Paths written since the innermost alone() began.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,9 +49,33 @@ def written(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path, compression=compression)
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def alone(spark: SparkSession, what: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, written; then every table that ``make`` wrote on the way is removed from the shared folder.
+
+    Only the result may leave ``make``: other DataFrames over its tables can't be read any more.
+    """
+    made: list[str] = []
+    around = _MADE.set(made)
+    try:
+        kept = written(make(), what)
+    finally:
+        _MADE.reset(around)
+    *passing, own = made
+    outer = _MADE.get()
+    if outer is not None:
+        outer.append(own)
+    for path in passing:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return kept
+
+
 def short_batches(spark: SparkSession) -> None:
     """Bounds the rows of an Arrow batch, for tables of texts. All operators use one bound, as results are lazy."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import alone, written
 
 #: Words of a window, and of a hashed gram; windows of WINDOW - GRAM + 1 grams are winnowed.
 WINDOW = 10
@@ -158,8 +158,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` of which no word is hit, columns unchanged; rows with a null text stay."""
-    hit = contamination(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_id"), "text"), benchmark)
-    bad = written(hit.where("n_hit > 0").select(F.col("doc_id").alias("_hash")).distinct(), "contaminated")
+
+    def found() -> DataFrame:
+        hit = contamination(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_id"), "text"), benchmark)
+        return hit.where("n_hit > 0").select(F.col("doc_id").alias("_hash")).distinct()
+
+    bad = alone(docs.sparkSession, "contaminated", found)
     small = bad.count() <= BROADCAST_KEYS
     return docs.join(
         F.broadcast(bad) if small else bad, F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["_hash"], "left_anti"

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, short_batches, turn_to, written
+from .common import alone, fresh, short_batches, turn_to, written
 
 #: The most fingerprints of a bucket that are compared pair by pair.
 BUCKET = 64
@@ -285,7 +285,11 @@ def _similar(x: Column, y: Column) -> Column:
 
 
 def _confirmed(docs: DataFrame, rows: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) of keys whose whole sets have a similarity of 0.8 or more, written."""
+    """The pairs (a, b) of keys whose whole sets have a similarity of 0.8 or more, written; the sets aren't kept."""
+    return alone(docs.sparkSession, "similar", lambda: _compared(docs, rows, pairs, width))
+
+
+def _compared(docs: DataFrame, rows: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     asked = written(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct(), "asked")
     texts = rows.join(_few(asked), "key", "left_semi").groupBy("key").agg(F.min("text_key").alias("text_key")).select("text_key")
     texts = _few(written(texts.distinct(), "asked-texts"))
@@ -295,7 +299,7 @@ def _confirmed(docs: DataFrame, rows: DataFrame, pairs: DataFrame, width: int) -
     whole = written(whole.groupBy("key").agg(F.first("shingles").alias("shingles")), "sets")
     both = pairs.join(whole.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(whole.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
-    return written(both.where(_similar(F.col("x"), F.col("y"))).select("a", "b"), "similar")
+    return both.where(_similar(F.col("x"), F.col("y"))).select("a", "b")
 
 
 def _text_key() -> Column:
@@ -326,10 +330,12 @@ def similar_sets(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame]
     made = written(made.select("doc_id", "text_key", "p.*"), "prefixes")
     rows = made.select("doc_id", "text_key", "key")
     sets = made.groupBy("key").agg(F.first(F.struct("n", "wide", "prefix")).alias("p")).select("key", "p.*")
-    split = written(sets, "prefix-sets").select("key", "n", "wide", F.posexplode("prefix").alias("at", "shingle"))
-    entry = F.struct("key", "n", "wide", "at")
-    buckets = split.groupBy("shingle").agg(F.count("*").alias("held"), F.min(entry).alias("b")).where("held > 1").drop("held")
-    shared = written(split.join(_few(written(buckets, "shared")), "shingle").select("shingle", "b", entry.alias("a")), "entries")
+    split = sets.select("key", "n", "wide", F.posexplode("prefix").alias("at", "shingle"))
+    split = split.select("shingle", F.struct("key", "n", "wide", "at").alias("a"))
+    # One shuffle and a spillable sort, where a count joined to what was counted would take two.
+    held = Window.partitionBy("shingle")
+    shared = split.select("shingle", F.min("a").over(held).alias("b"), "a", F.count("*").over(held).alias("held"))
+    shared = written(shared.where("held > 1").drop("held"), "entries")
     asked = written(_candidates(shared.where("a.key != b.key")), "candidates")
     links = _confirmed(docs, rows, asked, width)
     root = components(links).withColumnRenamed("node", "key")
@@ -359,7 +365,7 @@ def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     without words are alike. Rows that repeat a doc_id are one document; if it stays, its row with the smallest
     hash of all columns does. Rows without a doc_id can't be named as copies of others and all stay.
     """
-    near = written(similar_components(docs, width).where("doc_id is not null"), "near")
+    near = alone(docs.sparkSession, "near", lambda: similar_components(docs, width).where("doc_id is not null"))
     ids = near.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.where(F.col("doc_id").isNotNull()).join(ids, "doc_id", "left_semi").select(*docs.columns)
     if not near.groupBy("doc_id").count().where("count > 1").isEmpty():
