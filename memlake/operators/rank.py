@@ -23,48 +23,89 @@ def top(scored: DataFrame, query: str, k: int, *order) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*order))).where(F.col("rank") <= k)
 
 
+#: Numbers in a matrix that a task makes at once (16 MB); what would be larger goes in slices of rows.
+TILE = 1 << 21
+
+
+def slices(batch: pa.RecordBatch, width: int):
+    """The batch in slices of as many rows as TILE holds, of ``width`` numbers each."""
+    n = max(1, TILE // max(1, width))
+    return (batch.slice(at, n) for at in range(0, batch.num_rows, n))
+
+
+def matrix(vecs: pa.ListArray) -> np.ndarray:
+    return vecs.flatten().to_numpy(zero_copy_only=False).reshape(len(vecs), -1)
+
+
+def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """q x rows, not rounded; 0 where a norm is 0 or anything isn't finite."""
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        s = q @ x.T
+        s /= np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1))
+        return s if np.isfinite(s.sum()) else np.nan_to_num(s, copy=False, nan=0.0, posinf=0.0, neginf=0.0)
+
+
 class Best:
-    """The k best (score, id) of each of n queries over batches: memory for k a query, whatever the number of rows."""
+    """The k best (rounded score, id) of each of n queries over batches: memory for k a query and one tile, whatever the number of rows."""
 
     def __init__(self, qids: np.ndarray, k: int):
         self.qids, self.k = qids, k
-        self.score, self.id = np.full((len(qids), 0), -np.inf), np.zeros((len(qids), 0), np.int64)
-
-    def add(self, score: np.ndarray, ids: np.ndarray) -> None:
-        """score: queries x rows, -inf where a row is no hit."""
-        score = np.concatenate([self.score, score], axis=1)
-        ids = np.concatenate([self.id, np.broadcast_to(ids, (len(self.qids), len(ids)))], axis=1)
-        if score.shape[1] > 4 * self.k:
-            # Ties with the k-th score stay, so that the smallest ids are among what is sorted.
-            cut = np.partition(score, score.shape[1] - self.k, axis=1)[:, -self.k][:, None]
-            most = int((score >= cut).sum(axis=1).max())
-            at = np.argsort(-score, axis=1, kind="stable")[:, :most]
-            score, ids = np.take_along_axis(score, at, 1), np.take_along_axis(ids, at, 1)
-        at = np.lexsort((ids, -score), axis=1)[:, : self.k]
-        self.score, self.id = np.take_along_axis(score, at, 1), np.take_along_axis(ids, at, 1)
+        self.held = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
+        self.new, self.waiting, self.patience = [], 0, max(2 * k * len(qids), 1 << 17)
+        #: The k-th score of each query so far, or less.
+        self.low = np.full(len(qids), np.finfo(np.float64).min)
+
+    def add(self, score: np.ndarray, ids: np.ndarray, of: np.ndarray | None = None) -> None:
+        """score: queries x rows, -inf where a row is no hit; ``of`` has the queries' places, if these aren't all."""
+        of, gap = np.arange(len(self.qids)) if of is None else of, 10.0**-DIGITS
+        # What ties with the k-th score after rounding stays, since its id may be smaller.
+        near = score >= (self.low[of] - gap)[:, None]
+        many = np.count_nonzero(near, axis=1) > 4 * self.k
+        if many.any():
+            cut = np.partition(score[many], score.shape[1] - self.k, axis=1)[:, score.shape[1] - self.k].round(DIGITS)
+            self.low[of[many]] = np.maximum(self.low[of[many]], cut)
+            near[many] = score[many] >= (self.low[of[many]] - gap)[:, None]
+        row, col = np.nonzero(near)
+        self.new.append((of[row], score[row, col].round(DIGITS), ids[col]))
+        self.waiting += len(row)
+        if self.waiting > self.patience:
+            self.settle()
+
+    def settle(self) -> None:
+        q, s, i = (np.concatenate(c) for c in zip(self.held, *self.new, strict=True))
+        at = np.lexsort((i, -s, q))
+        q, s, i = q[at], s[at], i[at]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        last = place == self.k - 1
+        self.low[q[last]] = np.maximum(self.low[q[last]], s[last])
+        self.held, self.new, self.waiting = [c[place < self.k] for c in (q, s, i)], [], 0
 
     def batch(self) -> pa.RecordBatch:
-        row, col = np.nonzero(self.score > -np.inf)
-        return pa.RecordBatch.from_arrays([pa.array(self.qids[row]), pa.array(self.id[row, col]), pa.array(self.score[row, col])], ["qid", "id", "score"])
+        self.settle()
+        q, s, i = self.held
+        return pa.RecordBatch.from_arrays([pa.array(self.qids[q]), pa.array(i), pa.array(s)], ["qid", "id", "score"])
 
 
 class Scorer:
-    """A stated set of queries (qids) against all rows: ``score`` makes a batch of ``rows`` (id first) a matrix, queries x rows."""
+    """A stated set of queries (qids) against all rows: ``score`` makes some of ``rows`` (id first) a matrix, queries x rows.
+
+    It gets slices of at most TILE numbers, with ``width`` numbers a row where it makes more than one a query.
+    """
 
-    def __init__(self, rows: DataFrame, qids: np.ndarray, model, score: Callable):
-        self.rows, self.score = rows.withColumn("id", F.col("id").cast("long")), score
+    def __init__(self, rows: DataFrame, qids: np.ndarray, model, score: Callable, width: int = 1):
+        self.rows, self.score, self.width = rows.withColumn("id", F.col("id").cast("long")), score, max(width, len(qids))
         self.sent = rows.sparkSession.sparkContext.broadcast((qids, model))
 
     def best(self, k: int) -> DataFrame:
         """qid, id, score, rank of the k best, ties to the smaller id; a task gives k a query."""
-        sent, score = self.sent, self.score
+        sent, score, width = self.sent, self.score, self.width
 
         def run(batches):
             qids, model = sent.value
             held = Best(qids, k)
             for batch in batches:
-                if batch.num_rows and len(qids):
-                    held.add(score(model, batch), batch.column(0).to_numpy(zero_copy_only=False))
+                for part in slices(batch, width) if len(qids) else ():
+                    held.add(score(model, part), part.column(0).to_numpy(zero_copy_only=False))
             yield held.batch()
 
         return top(self.rows.mapInArrow(run, "qid long, id long, score double"), "qid", k, F.desc("score"), "id")
@@ -77,15 +118,15 @@ class Scorer:
         pairs = named.select("qid", "id").limit(most + 1).collect()
         if len(pairs) > most:
             raise ValueError(f"more than {most} rows to be placed; send the queries in blocks")
-        sent, score = self.sent, self.score
+        sent, score, width = self.sent, self.score, self.width
         wanted: dict[int, list[int]] = {}
         for q, i in pairs:
             wanted.setdefault(q, []).append(i)
 
         def own(batches):
             qids, model = sent.value
-            for batch in batches:
-                ids, s = batch.column(0).to_numpy(zero_copy_only=False), score(model, batch)
+            for batch in (part for whole in batches for part in slices(whole, width)):
+                ids, s = batch.column(0).to_numpy(zero_copy_only=False), score(model, batch).round(DIGITS)
                 rows = [(int(q), int(ids[c]), float(s[j, c])) for j, q in enumerate(qids) for c in np.flatnonzero(np.isin(ids, wanted.get(int(q), []))) if s[j, c] > -np.inf]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 3, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["qid", "id", "score"])
 
@@ -96,8 +137,8 @@ class Scorer:
         def count(batches):
             qids, model = sent.value
             better = {q: np.zeros(len(h) + 1, np.int64) for q, h in held.items()}
-            for batch in batches:
-                ids, s = batch.column(0).to_numpy(zero_copy_only=False), score(model, batch)
+            for batch in (part for whole in batches for part in slices(whole, width)):
+                ids, s = batch.column(0).to_numpy(zero_copy_only=False), score(model, batch).round(DIGITS)
                 for j, q in enumerate(qids.tolist()):
                     if q in held:
                         hit = s[j] > -np.inf
@@ -148,7 +189,7 @@ def bm25_scorer(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float =
     sent = docs.sparkSession.sparkContext.broadcast(asked)
 
     def narrow(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 4096)):
             yield pa.RecordBatch.from_arrays([batch.column(0), sent.value.known(batch.column(1)), batch.column(2)], ["id", "t", "dl"])
 
     sized = docs.select(F.col("id").cast("long").alias("id"), tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
@@ -165,7 +206,7 @@ def bm25_scorer(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float =
         s = ((idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean))) @ asked.has).round(DIGITS).T
         return np.where(s > 0, s, -np.inf)
 
-    return Scorer(sized, asked.qids, (asked, idf), score)
+    return Scorer(sized, asked.qids, (asked, idf), score, len(asked.terms))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -186,7 +227,7 @@ def jaccard_top(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         n = np.diff(batch.column(1).offsets.to_numpy())
         return np.where(shared > 0, (shared / np.maximum(1, n + asked.sizes[:, None] - shared)).round(DIGITS), -np.inf)
 
-    return Scorer(docs.select("id", F.array_distinct(tokens(F.col("text"))).alias("t")), asked.qids, asked, score).best(k)
+    return Scorer(docs.select("id", F.array_distinct(tokens(F.col("text"))).alias("t")), asked.qids, asked, score, len(asked.terms)).best(k)
 
 
 def dense_scorer(vectors: DataFrame, queries: DataFrame, most_queries: int = 5000) -> Scorer:
@@ -195,20 +236,14 @@ def dense_scorer(vectors: DataFrame, queries: DataFrame, most_queries: int = 500
         raise ValueError(f"more than {most_queries} queries; send them in parts")
     rows = [r for r in rows if r[1]]
 
-    def score(q, batch):
-        x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            s = (q @ x.T) / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1))
-        return np.nan_to_num(s, nan=0.0, posinf=0.0, neginf=0.0).round(DIGITS)
-
     vecs = vectors.where("vec is not null").select("id", F.col("vec").cast("array<double>").alias("vec"))
-    return Scorer(vecs, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64), score)
+    return Scorer(vecs, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64), lambda q, batch: cosines(q, matrix(batch.column(1))))
 
 
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int = 10, most_queries: int = 5000) -> DataFrame:
     """qid, id, score, rank by cosine from vectors (id, vec) and queries (qid, vec), a stated set of at most ``most_queries``.
 
-    The queries are sent to the executors; each batch of vectors is one matrix product, and a task keeps its k best.
+    The queries are sent to the executors; each slice of vectors is one matrix product, and a task keeps its k best.
     """
     return dense_scorer(vectors, queries, most_queries).best(k)
 

@@ -99,7 +99,7 @@ def _(s, d):
 @query("dense_topk_batch", f"SELECT q.vec_id AS qid, e.vec_id AS id, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rank FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q QUALIFY rank <= 10")
 def _(s, d):
     v = vectors(s, d)
-    return rank.dense_top(v, v.where("id % 50 = 0").select(F.col("id").alias("qid"), "vec"), 10)
+    return rank.in_blocks(v.where("id % 50 = 0").select(F.col("id").alias("qid"), "vec"), lambda some: rank.dense_top(v, some, 10))
 
 
 @query(
