@@ -262,24 +262,38 @@ def ann_top(vectors: DataFrame, queries: DataFrame, k: int = 10, exact_up_to: in
     """dense_top, exactly up to so many vectors, else over the ``probes`` nearest part of inverted lists.
 
     The lists' centres are the ``lists`` vectors with the least hashes. Each vector is filed under the centre
-    with the highest cosine, and each query joined with the vectors of the lists that it probes.
+    with the highest cosine and meets the queries that probe its list; blocks of queries are sent to the executors,
+    the vectors of a batch that share a list are one matrix product, and a task keeps its k best of each query.
     """
-    seeds = vectors.where("vec is not null").select("id", F.col("vec").cast("array<double>").alias("vec"))
+    seeds = vectors.where("vec is not null").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
     if seeds.limit(exact_up_to + 1).count() <= exact_up_to:
-        return dense_top(vectors, queries, k)
+        return in_blocks(queries, lambda some: dense_top(vectors, some, k))
     centres = np.array([r[0] for r in seeds.orderBy(F.xxhash64("id"), "id").select("vec").limit(lists).collect()])
     centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+    probed = int(np.ceil(probes * len(centres)))
 
-    @F.arrow_udf("array<int>")
-    def nearest(v: pa.Array) -> pa.Array:
-        x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) if len(v) else np.zeros((0, centres.shape[1]))
-        return pa.array(np.argsort(-(x @ centres.T), axis=1, kind="stable").tolist(), pa.list_(pa.int32()))
+    def search(some: DataFrame) -> DataFrame:
+        rows = [r for r in some.select("qid", F.col("vec").cast("array<double>")).collect() if r[1]]
+        q = np.array([r[1] for r in rows], np.float64).reshape(len(rows), centres.shape[1])
+        asks = np.zeros((len(centres), len(rows)), bool)
+        np.put_along_axis(asks, np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, :probed].T, True, axis=0)
+        sent = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), q, asks))
 
-    filed = seeds.withColumn("list", F.get(nearest("vec"), F.lit(0)))
-    asked = queries.select("qid", F.col("vec").cast("array<double>").alias("q"))
-    asked = asked.withColumn("list", F.explode(F.slice(nearest("q"), F.lit(1), F.lit(int(np.ceil(probes * len(centres)))))))
-    scored = filed.join(asked, "list").select("qid", "id", F.round(cosine(F.col("vec"), F.col("q")), DIGITS).alias("score"))
-    return top(scored, "qid", k, F.desc("score"), "id")
+        def run(batches):
+            qids, q, asks = sent.value
+            held = Best(qids, k)
+            for batch in batches if len(qids) else ():
+                ids, x = batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1))
+                own = np.argmax(x @ centres.T, axis=1) if len(x) else np.zeros(0, int)
+                for one in np.unique(own):
+                    of, at = np.flatnonzero(asks[one]), np.flatnonzero(own == one)
+                    for part in np.array_split(at, -(-len(at) * len(of) // TILE)) if len(of) else ():
+                        held.add(cosines(q[of], x[part]), ids[part], of)
+            yield held.batch()
+
+        return top(seeds.mapInArrow(run, "qid long, id long, score double"), "qid", k, F.desc("score"), "id")
+
+    return in_blocks(queries, search)
 
 
 def rrf(lists: DataFrame, k: int = 60) -> DataFrame:

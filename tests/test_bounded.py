@@ -56,3 +56,10 @@ def test_best_keeps_the_smallest_ids_of_ties():
 def test_dense_topk_batch_asks_more_than_a_block(spark, tmp_path):
     made(spark, 5001, 2).select((F.col("id") * 50).alias("vec_id"), F.col("vec").alias("embedding"), F.lit(0).alias("label")).write.parquet(f"{tmp_path}/embeddings.parquet")
     assert plans.QUERIES["dense_topk_batch"](spark, str(tmp_path)).count() == 50010
+
+
+def test_ann_reaches_nine_of_ten_without_a_join(spark):
+    vecs = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    asked = vecs.where("id % 5 = 0").select(F.col("id").alias("qid"), "vec")
+    found, exact = rank.ann_top(vecs, asked, 10), pairs(rank.dense_top(vecs, asked, 10))
+    assert "Join" not in plan(found) and len(pairs(found) & exact) >= 0.9 * len(exact)
