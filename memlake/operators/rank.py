@@ -296,6 +296,56 @@ def ann_top(vectors: DataFrame, queries: DataFrame, k: int = 10, exact_up_to: in
     return in_blocks(queries, search)
 
 
+def nearest_held(asked: DataFrame, held: DataFrame, block: int = 20_000) -> DataFrame:
+    """id, score: the highest cosine of each of ``asked`` (id, key, vec) with those of ``held`` (id, key, vec) of the same key, if there is one.
+
+    Blocks of ``held`` by the hash of its ids are sent to the executors one by one; the asked rows of a batch that share
+    a key are one matrix product in slices, and give a number each, so no pair is shuffled. Vectors of two lengths are
+    compared over the shorter; components that are null count as 0.
+    """
+    spark, held = asked.sparkSession, held.where("key is not null")
+    parts = max(1, -(-held.count() // block))
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+    def cosine_most(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            n = np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(h, axis=1))
+            s = np.divide(x @ h.T, n, out=np.zeros(n.shape), where=n != 0)
+        return s.max(axis=1).round(DIGITS)
+
+    def by_length(v: pa.ListArray):
+        """(places, matrix) of the vectors of each length."""
+        size = pc.fill_null(pc.list_value_length(v), -1).to_numpy(zero_copy_only=False)
+        for n in np.unique(size[size >= 0]):
+            at = np.flatnonzero(size == n)
+            yield at, pc.fill_null(v.take(pa.array(at)).flatten(), 0.0).to_numpy(zero_copy_only=False).reshape(len(at), n)
+
+    def search(k: int) -> DataFrame:
+        t = held.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k).select("key", F.col("vec").cast("array<double>")).toArrow().combine_chunks()
+        keys, vecs = (pa.concat_arrays(t.column(c).chunks or [pa.array([], t.schema.field(c).type)]) for c in (0, 1))
+        made = {key.as_py(): [h for _, h in by_length(vecs.filter(pc.equal(keys, key)))] for key in keys.unique()}
+        sent = spark.sparkContext.broadcast(made)
+
+        def run(batches):
+            for batch in batches:
+                for key in batch.column(1).unique():
+                    kinds = sent.value.get(key.as_py())
+                    if kinds is None:
+                        continue
+                    own = batch.filter(pc.equal(batch.column(1), key))
+                    most = np.full(own.num_rows, -np.inf)
+                    for at, x in by_length(own.column(2)):
+                        for h in kinds:
+                            w = min(h.shape[1], x.shape[1])
+                            for part in np.array_split(np.arange(len(at)), -(-len(at) * len(h) // TILE)):
+                                most[at[part]] = np.maximum(most[at[part]], cosine_most(h[:, :w], x[part, :w]))
+                    yield pa.RecordBatch.from_arrays([own.column(0), pa.array(most, pa.float64(), mask=most == -np.inf)], ["id", "score"])
+
+        return asked.where("key is not null").select(F.col("id").cast("long"), "key", F.col("vec").cast("array<double>")).mapInArrow(run, "id long, score double")
+
+    return reduce(DataFrame.union, [search(k) for k in range(parts)]).groupBy("id").agg(F.max("score").alias("score"))
+
+
 def rrf(lists: DataFrame, k: int = 60) -> DataFrame:
     """qid, id, score, rank: sum of weight / (k + rank) over lists (qid, list_id, weight, id, rank).
 

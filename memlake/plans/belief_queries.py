@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_key, flagged, sanitized
-from ..operators import belief, caches
+from ..operators import belief, caches, rank
 from ..operators.ordering import running
 from .catalogue import query, table
 
@@ -176,13 +176,9 @@ _COS = "round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embed
 
 @query("semantic_lookup", f"SELECT a.vec_id AS ask, max({_COS}) AS score, max({_COS}) >= 0.35 AS hit FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id % 10 = 0 WHERE a.vec_id % 10 <> 0 GROUP BY a.vec_id")
 def _(s, d):
-    from ..functions.vectors import cosine
-
-    e = table(s, d, "embeddings")
-    held = e.where("vec_id % 10 = 0").select("label", F.col("embedding").alias("b"))
-    asked = e.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("ask"), "label", F.col("embedding").alias("a"))
-    best = asked.join(held, "label").groupBy("ask").agg(F.max(F.round(cosine(F.col("a"), F.col("b")), 9)).alias("score"))
-    return best.withColumn("hit", F.col("score") >= 0.35)
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("key"), F.col("embedding").alias("vec"))
+    best = rank.nearest_held(e.where("id % 10 <> 0"), e.where("id % 10 = 0"))
+    return best.select(F.col("id").alias("ask"), "score", (F.col("score") >= 0.35).alias("hit"))
 
 
 @query("cache_key", "SELECT conv_id, turn, '[\"' || role || '\",\"' || CAST(turn AS VARCHAR) || '\"]' AS cache_key FROM conversations")

@@ -63,3 +63,12 @@ def test_ann_reaches_nine_of_ten_without_a_join(spark):
     asked = vecs.where("id % 5 = 0").select(F.col("id").alias("qid"), "vec")
     found, exact = rank.ann_top(vecs, asked, 10), pairs(rank.dense_top(vecs, asked, 10))
     assert "Join" not in plan(found) and len(pairs(found) & exact) >= 0.9 * len(exact)
+
+
+def test_semantic_lookup_joins_nothing(spark, sf):
+    assert "Join" not in plan(plans.QUERIES["semantic_lookup"](spark, sf))
+    rows = [(1, 0, [1.0, 0.0, 5.0]), (2, 0, [0.0, 1.0]), (3, 1, [1.0, 1.0]), (4, None, [1.0, 1.0]), (5, 0, None), (6, 0, [0.0, 0.0])]
+    held = [(7, 0, [2.0, 0.0]), (8, 0, [3.0, 4.0]), (9, None, [1.0, 1.0]), (10, 0, None)]
+    frames = [spark.createDataFrame(r, "id long, key int, vec array<float>") for r in (rows, held)]
+    for block in (1, 20_000):
+        assert {r["id"]: r["score"] for r in rank.nearest_held(*frames, block).collect()} == {1: 1.0, 2: 0.8, 5: None, 6: 0.0}
