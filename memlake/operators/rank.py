@@ -66,8 +66,12 @@ class Best:
             self.low[of[many]] = np.maximum(self.low[of[many]], cut)
             near[many] = score[many] >= (self.low[of[many]] - gap)[:, None]
         row, col = np.nonzero(near)
-        self.new.append((of[row], score[row, col].round(DIGITS), ids[col]))
-        self.waiting += len(row)
+        self.put(of[row], score[row, col].round(DIGITS), ids[col])
+
+    def put(self, q: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """Single hits: the places of their queries, rounded scores, ids."""
+        self.new.append((q, score, ids))
+        self.waiting += len(q)
         if self.waiting > self.patience:
             self.settle()
 
@@ -346,6 +350,130 @@ def nearest_held(asked: DataFrame, held: DataFrame, block: int = 20_000) -> Data
     return reduce(DataFrame.union, [search(k) for k in range(parts)]).groupBy("id").agg(F.max("score").alias("score"))
 
 
+def spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers of the ranges with these starts and lengths, one after the other."""
+    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
+
+
+def overlap_top(docs: DataFrame, queries: DataFrame, k: int = 3, least: int = 2, block: int = 50_000, first: int = 8192) -> DataFrame:
+    """qid, id, overlap, rank of the k documents (id, t) with most terms of each query (qid, t), ``least`` at least, ties to the smaller id; t: different terms.
+
+    Documents are narrowed to the queries' terms and written. The queries go out in blocks. About ``first`` documents, those
+    with most terms, are counted against every query, which gives each a bound: its k-th overlap there. A document that
+    reaches the bound b of a query of m terms has one of its m - b + 1 rarest, so the others are only compared with
+    queries of which they have such a term. That loses nothing. Rows that share an id add up, and are then all counted.
+    """
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    asked = queries.where(F.size("t") > 0).select("qid", "t").toArrow().combine_chunks()
+    qids, lists = (pa.concat_arrays(asked.column(c).chunks or [pa.array([], asked.schema.field(c).type)]) for c in (0, 1))
+    words = lists.flatten()
+    vocabulary = words.unique()
+    term, length = pc.index_in(words, value_set=vocabulary).to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+    known = spark.sparkContext.broadcast(vocabulary)
+
+    def narrow(batches):
+        for batch in batches:
+            v = batch.column(1)
+            at = pc.index_in(v.flatten(), value_set=known.value)
+            row = np.repeat(np.arange(len(v)), np.diff(v.offsets.to_numpy()))[pc.is_valid(at).to_numpy(zero_copy_only=False)]
+            ends = np.cumsum([0, *np.bincount(row, minlength=len(v))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), at.drop_null())], ["id", "t"])
+
+    held = docs.select(F.col("id").cast("long").alias("id"), "t").mapInArrow(narrow, "id long, t array<int>").withColumn("n", F.size("t"))
+    held = written(held.where("n > 0"), "query-terms")
+    df = np.zeros(len(vocabulary), np.int64)
+    for r in held.select(F.explode("t").alias("w")).groupBy("w").count().toArrow().to_batches():
+        df[r.column(0).to_numpy()] = r.column(1).to_numpy()
+    ids = held.agg(F.count("*"), F.count_distinct("id")).first()
+    least_big = 0
+    if ids[0] == ids[1]:
+        of_size, n = held.groupBy("n").count().orderBy(F.desc("n")).collect(), 0
+        for size, count in of_size:
+            least_big, n = size, n + count
+            if n >= first:
+                break
+    else:
+        held = written(held.groupBy("id").agg(F.flatten(F.collect_list("t")).alias("t")).withColumn("n", F.size("t")), "merged")
+
+    def posted(q: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The queries by term, and where each term's begin."""
+        at = np.argsort(w, kind="stable")
+        return q[at].astype(np.int32), np.searchsorted(w[at], np.arange(len(vocabulary) + 1))
+
+    def each(batches):
+        for batch in batches:
+            ids, flat, ends = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).flatten().to_numpy(), batch.column(1).offsets.to_numpy()
+            for j in range(len(ids)):
+                yield ids[j], flat[ends[j] - ends[0] : ends[j + 1] - ends[0]]
+
+    def search(base: int, length: np.ndarray, term: np.ndarray) -> DataFrame:
+        """The queries from place ``base`` on, by their numbers of terms and their terms."""
+        n, q = len(length), np.repeat(np.arange(len(length)), length)
+        all_of = spark.sparkContext.broadcast(posted(q, term))
+
+        def whole(batches):
+            (queries, start), best, rows = all_of.value, Best(np.arange(base, base + n), k), []
+            full = max(1, TILE // n)
+
+            def give():
+                s = np.stack([c for _, c in rows], axis=1).astype(float)
+                best.add(np.where(s >= least, s, -np.inf), np.array([i for i, _ in rows]))
+                rows.clear()
+
+            for i, w in each(batches):
+                rows.append((i, np.bincount(queries[spread(start[w], start[w + 1] - start[w])], minlength=n).astype(np.int32)))
+                if len(rows) == full:
+                    give()
+            if rows:
+                give()
+            yield best.batch()
+
+        kind = "qid long, id long, score double"
+        big = written(top(held.where(F.col("n") >= least_big).mapInArrow(whole, kind), "qid", k, F.desc("score"), "id").drop("rank"), "big")
+        if not least_big:
+            return big
+        low = np.full(n, float(least))
+        for r in big.groupBy("qid").agg(F.count("*").alias("n"), F.min("score").alias("s")).where(F.col("n") == k).toArrow().to_batches():
+            low[r.column(0).to_numpy() - base] = r.column(2).to_numpy()
+        # Within each query the rarest terms first; those beyond the m - b + 1 first find no document.
+        at = np.lexsort((df[term], q))
+        by_rarity = term[at]
+        starts = np.cumsum(length) - length
+        early = np.arange(len(q)) - starts[q] < (length - low + 1)[q]
+        sent = spark.sparkContext.broadcast((posted(q[early], by_rarity[early]), low, starts, length, by_rarity))
+
+        def rest(batches):
+            (queries, start), low, starts, length, terms = sent.value
+            best, has = Best(np.arange(base, base + n), k), np.zeros(len(start), np.int32)
+            best.low = low.copy()
+            for i, w in each(batches):
+                some = np.unique(queries[spread(start[w], start[w + 1] - start[w])])
+                if len(some):
+                    has[w] = 1
+                    m = length[some]
+                    shared = np.add.reduceat(has[terms[spread(starts[some], m)]], np.cumsum(m) - m)
+                    has[w] = 0
+                    near = shared >= best.low[some]
+                    best.put(some[near], shared[near].astype(float), np.full(int(near.sum()), i))
+            yield best.batch()
+
+        return big.union(held.where(F.col("n") < least_big).mapInArrow(rest, kind))
+
+    ends = np.concatenate([[0], np.cumsum(length)])
+    found = [search(a, length[a : a + block], term[ends[a] : ends[min(a + block, len(length))]]) for a in range(0, len(length), block)]
+    if not found:
+        return queries.select("qid").join(docs.select(F.col("id").cast("long")), F.lit(False)).select("qid", "id", F.lit(0).cast("long").alias("overlap"), F.lit(1).alias("rank"))
+    names = spark.sparkContext.broadcast(qids)
+
+    def named(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([names.value.take(batch.column(0)), *batch.columns[1:]], ["qid", "id", "overlap", "rank"])
+
+    ranked = top(reduce(DataFrame.union, found), "qid", k, F.desc("score"), "id").select("qid", "id", F.col("score").cast("long").alias("overlap"), "rank")
+    return ranked.mapInArrow(named, f"qid {queries.schema['qid'].dataType.simpleString()}, id long, overlap long, rank int")
+
+
 def rrf(lists: DataFrame, k: int = 60) -> DataFrame:
     """qid, id, score, rank: sum of weight / (k + rank) over lists (qid, list_id, weight, id, rank).
 

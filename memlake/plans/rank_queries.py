@@ -69,10 +69,9 @@ SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY overlap DESC, doc_id)
 )
 def _(s, d):
     last = table(s, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
-    m = last.select("conv_id", F.explode(F.array_distinct(recall_tokens(F.col("text")))).alias("w"))
-    x = table(s, d, "documents").select("doc_id", F.explode(F.array_distinct(recall_tokens(F.col("text")))).alias("w"))
-    c = x.join(m, "w").groupBy("conv_id", "doc_id").agg(F.count("*").alias("overlap")).where("overlap >= 2")
-    return rank.top(c, "conv_id", 3, F.desc("overlap"), "doc_id")
+    words = F.array_distinct(recall_tokens(F.col("text"))).alias("t")
+    hits = rank.overlap_top(table(s, d, "documents").select(F.col("doc_id").alias("id"), words), last.select(F.col("conv_id").alias("qid"), words), 3, 2)
+    return hits.select(F.col("qid").alias("conv_id"), F.col("id").alias("doc_id"), "overlap", "rank")
 
 
 @query(

@@ -72,3 +72,21 @@ def test_semantic_lookup_joins_nothing(spark, sf):
     frames = [spark.createDataFrame(r, "id long, key int, vec array<float>") for r in (rows, held)]
     for block in (1, 20_000):
         assert {r["id"]: r["score"] for r in rank.nearest_held(*frames, block).collect()} == {1: 1.0, 2: 0.8, 5: None, 6: 0.0}
+
+
+def test_overlap_top_is_exact_beyond_the_documents_counted_first(spark):
+    rng = np.random.default_rng(2)
+    words = lambda n, most: sorted({f"w{int(most * x**3)}" for x in rng.random(n)})
+    docs, asks = [(i, words(int(rng.integers(1, 40)), 90)) for i in rng.permutation(400).tolist()], [(q, words(int(rng.integers(1, 14)), 100)) for q in range(120)]
+    for given in (docs, [*docs, (docs[0][0], docs[1][1]), docs[2]]):
+        want = set()
+        for q, t in asks:
+            both = {}
+            for i, w in given:
+                both[i] = both.get(i, 0) + len(set(w) & set(t))
+            want |= {(q, i, n, r) for r, (n, i) in enumerate(sorted((-n, i) for i, n in both.items() if n >= 2)[:3], 1) for n in [-n]}
+        frames = spark.createDataFrame(given, "id long, t array<string>"), spark.createDataFrame(asks, "qid long, t array<string>")
+        for block, first in ((1000, 10), (50, 25), (1000, 8192)):
+            got = rank.overlap_top(*frames, block=block, first=first)
+            assert "Join" not in plan(got) and {tuple(r) for r in got.collect()} == want
+    assert rank.overlap_top(frames[0], frames[1].limit(0)).count() == 0 == rank.overlap_top(frames[0].limit(0), frames[1]).count()
