@@ -20,3 +20,19 @@ def test_attention_sends_a_row_to_a_fixed_number_of_blocks(spark):
         own, past = x[at == i][0], x[at <= i]
         w = np.exp(past @ own)
         assert abs(found[i] - w @ past[:, 0] / w.sum()) < 2e-9
+
+
+def test_portions_hold_all_texts_in_bounded_slices():
+    texts = pa.array(["a" * 10, None, "b" * 100, "", "ç" * 30, "d"])
+    for size in (1, 40, 1000):
+        parts = list(numeric.portions(texts.slice(1), size))
+        assert [t for p in parts for t in p.to_pylist()] == texts.to_pylist()[1:]
+        assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p.to_pylist()) <= size for p in parts)
+
+
+def test_encoded_gives_a_batch_in_portions(spark):
+    """Ten texts of 300,000 characters in one batch: at most four in a list at once."""
+    texts = spark.range(10).select("id", F.repeat(F.lit("the end "), 37_500).alias("text")).coalesce(1)
+    got = texts.select("id", "text", numeric.encoded(F.col("text"), [("t", "h"), ("th", "e"), ("e", "n")]).alias("t"))
+    assert got.where(F.array_join("t", "") == F.col("text")).count() == 10
+    assert got.select(F.size("t")).distinct().count() == 1
