@@ -36,3 +36,23 @@ def test_encoded_gives_a_batch_in_portions(spark):
     got = texts.select("id", "text", numeric.encoded(F.col("text"), [("t", "h"), ("th", "e"), ("e", "n")]).alias("t"))
     assert got.where(F.array_join("t", "") == F.col("text")).count() == 10
     assert got.select(F.size("t")).distinct().count() == 1
+
+
+def test_merges_are_those_of_counting_all_words_anew(spark):
+    rng = np.random.default_rng(3)
+    made = Counter("".join(rng.choice(list("abcd"), size=rng.integers(1, 9), p=[0.5, 0.3, 0.15, 0.05])) for _ in range(600))
+    want: list = []
+    for _ in range(12):
+        pairs: Counter = Counter()
+        for w, n in made.items():
+            s = numeric.encode(w, {m: k for k, m in enumerate(want)})
+            for p in zip(s, s[1:], strict=False):
+                pairs[p] += n
+        want.append(min(pairs, key=lambda p: (-pairs[p], p)))
+    words = spark.createDataFrame(list(made.items()), "word string, n long")
+    assert numeric.train_merges(words, 12) == want
+    # Each round reads only the words that hold the merge: their change is the difference of the whole counts.
+    counts = lambda merges: {(r[0], r[1]): r[2] for r in numeric.pair_changes(words, None, merges).collect()}
+    change = {(r[0], r[1]): r[2] for r in numeric.pair_changes(words.where(F.contains("word", F.lit("".join(want[1])))), want[:1], want[:2]).collect()}
+    a, b = counts(want[:1]), counts(want[:2])
+    assert {p: n for p, n in change.items() if n} == {p: b.get(p, 0) - a.get(p, 0) for p in a | b if b.get(p, 0) != a.get(p, 0)}
